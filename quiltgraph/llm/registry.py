@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import mixing, quality, simhash, urlfilter
 
 QUERIES = {
+    "op3_mix_sources": mixing.op3_mix_sources,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op6_url_filters": urlfilter.op6_url_filters,
 }
 ORACLE_SQL = {
+    "op3_mix_sources": mixing.SQL,
+    "op6_url_filters": urlfilter.SQL,
     "op9_quality_rules": quality.SQL,
 }
