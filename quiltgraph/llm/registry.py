@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, urlfilter, warc
+from . import mixing, quality, simhash, suffixdedup, urlfilter, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
+    "op10_suffix_array_dedup": suffixdedup.op10_suffix_array_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
