@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, suffixdedup, urlfilter, warc
+from . import decontaminate, mixing, quality, simhash, suffixdedup, urlfilter, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_url_filters": urlfilter.op6_url_filters,
 }
 ORACLE_SQL = {
     "op3_mix_sources": mixing.SQL,
+    "op5_decontamination": decontaminate.SQL,
     "op6_url_filters": urlfilter.SQL,
     "op9_quality_rules": quality.SQL,
 }
