@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, simhash, suffixdedup, urlfilter, warc
+from . import decontaminate, licenses, mixing, quality, simhash, suffixdedup, urlfilter, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op10_suffix_array_dedup": suffixdedup.op10_suffix_array_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op8_license_scans": licenses.op8_license_scans,
     "op9_quality_rules": quality.op9_quality_rules,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_url_filters": urlfilter.op6_url_filters,
