@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, quality, simhash, suffixdedup, urlfilter, warc
+from . import chat, decontaminate, licenses, mixing, quality, simhash, suffixdedup, urlfilter, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op10_suffix_array_dedup": suffixdedup.op10_suffix_array_dedup,
+    "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op8_license_scans": licenses.op8_license_scans,
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_url_filters": urlfilter.op6_url_filters,
 }
 ORACLE_SQL = {
+    "op2_chat_formatting": chat.SQL,
     "op3_mix_sources": mixing.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op6_url_filters": urlfilter.SQL,
