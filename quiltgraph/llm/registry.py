@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, mixing, quality, simhash, suffixdedup, urlfilter, warc
+from . import chat, decontaminate, licenses, lm, mixing, quality, simhash, suffixdedup, urlfilter, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_license_scans": licenses.op8_license_scans,
     "op9_quality_rules": quality.op9_quality_rules,
     "op5_decontamination": decontaminate.op5_decontamination,
