@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("id").alias("node"))
     comp = components(links(nodes.where("node is not null"), radius))
-    named = nodes.join(comp, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
+    # written, so that the join deals out both sides anew and a fingerprint of very many rows can be split
+    named = materialize(nodes.join(comp, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "named")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
