@@ -338,15 +338,15 @@ def _asked(n_buckets: int, length: int):
     return run
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """((ord, id, text), made): ord is the id where ids are whole numbers without nulls and repeats, else the place in order of id and text."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def numbered(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = []) -> DataFrame:
+    """(ord, id, text, kept columns): ord is the id where ids are whole numbers without nulls and repeats, else the place in order of id and text."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
     if rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long"):
         odd = rows.groupBy("id").agg(F.count("*").alias("n")).where("id IS NULL OR n > 1").limit(1).count()
         if not odd:
-            return rows.select(F.col("id").cast("long").alias("ord"), "id", "text"), False
+            return rows.withColumn("ord", F.col("id").cast("long"))
     ordered = rows.orderBy(F.col("id").asc_nulls_last(), F.md5("text"))
-    return materialize(ordered.select(F.monotonically_increasing_id().alias("ord"), "id", "text"), "numbered"), True
+    return materialize(ordered.withColumn("ord", F.monotonically_increasing_id()), "numbered")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, n_buckets: int | None = None) -> DataFrame:
@@ -365,11 +365,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, n_buckets: int | None
     return one.where(F.col("kind") == SPAN).select("doc", "lo", "hi").unionByName(two)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
-    """(id, kept binary, n_bytes, n_removed, spans array<struct<lo,hi>>) for every row."""
-    rows, _ = numbered(docs, id_col, text_col)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] = []) -> DataFrame:
+    """(id, kept binary, n_bytes, n_removed, spans array<struct<lo,hi>>, the columns to keep) for every row."""
+    rows = numbered(docs, id_col, text_col, keep)
     spans = repeated_spans(rows, length).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = rows.join(spans, rows.ord == spans.doc, "left").select("id", "text", "ranges")
+    joined = rows.join(spans, rows.ord == spans.doc, "left").select("id", "text", "ranges", *[f"keep_{c}" for c in keep])
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -388,11 +388,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 gone.append(len(data) - len(kept[-1]))
                 all_spans.append([{"lo": x, "hi": y} for x, y in zip(lo.tolist(), hi.tolist())])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(all_spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
-                ["id", "kept", "n_bytes", "n_removed", "spans"],
+                [b.column(0), pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(all_spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), *b.columns[3:]],
+                ["id", "kept", "n_bytes", "n_removed", "spans", *keep],
             )
 
-    return joined.mapInArrow(run, f"id {kind}, kept binary, n_bytes bigint, n_removed bigint, spans array<struct<lo:bigint,hi:bigint>>")
+    return joined.mapInArrow(run, f"id {kind}, kept binary, n_bytes bigint, n_removed bigint, spans array<struct<lo:bigint,hi:bigint>>" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
