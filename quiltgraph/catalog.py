@@ -12,9 +12,16 @@ def register(name: str, fn, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def _load() -> None:
+    """Registration happens on import of the plan modules."""
+    from .plans import relational  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
