@@ -28,8 +28,8 @@ def edge(df: DataFrame) -> DataFrame:
     return df.select("from_id", "to_id", "kind", "file_path", "line", F.round("confidence", 6).alias("confidence"), "origin")
 
 
-def graph(name: str, fn, sql: str, typed: bool = False) -> None:
-    register(name, lambda spark, d: fn(Graph(spark, d)), (WITH_TYPED if typed else WITH) + " " + sql)
+def graph(name: str, fn, sql: str | None, typed: bool = False) -> None:
+    register(name, lambda spark, d: fn(Graph(spark, d)), None if sql is None else (WITH_TYPED if typed else WITH) + " " + sql)
 
 
 def table(name: str, fn, sql: str) -> None:
