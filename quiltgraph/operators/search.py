@@ -22,7 +22,8 @@ def bm25(docs: DataFrame, query: list[str], tokens: Column, k: int | None = None
     """(id, score). A term that the query repeats counts each time. Statistics and scores come from one pass each over docs."""
     d = docs.select("id", tokens.alias("ts")).withColumn("len", F.size("ts"))
     terms = sorted(set(query))
-    tf = {t: F.size(F.filter("ts", lambda x, t=t: x == t)) for t in terms}
+    count = lambda t: F.size(F.filter("ts", lambda x: x == F.lit(t)))
+    tf = {t: count(t) for t in terms}
     rows = d.select("id", "len", *[tf[t].alias(f"t{i}") for i, t in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = rows.where(" OR ".join(f"t{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(stats), F.lit(True))  # stats: one row
@@ -68,7 +69,7 @@ def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
     d = vectors.where(F.size("vec") == len(query)).select("id", dot(F.col("vec"), q).alias("d"), norm.alias("n")).where("n > 0")
     qn = float(np.sqrt(sum(float(x) ** 2 for x in query)))
-    return d.select("id", F.round(1 - F.col("d") / (F.col("n") * F.lit(qn)), 6).alias("distance")).orderBy("distance", "id").limit(k)
+    return d.select("id", F.abs(F.round(1 - F.col("d") / (F.col("n") * F.lit(qn)), 6)).alias("distance")).orderBy("distance", "id").limit(k)
 
 
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
@@ -95,7 +96,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024)
                 best_i = np.concatenate([best_i, np.broadcast_to(f["id"].to_numpy(), d.shape)], 1)
                 o = np.lexsort((best_i, best_d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(best_d, o, 1), np.take_along_axis(best_i, o, 1)
-            yield pd.DataFrame({"query": np.repeat(ids, best_d.shape[1]), "id": best_i.ravel(), "distance": np.round(best_d.ravel(), 6)})
+            yield pd.DataFrame({"query": np.repeat(ids, best_d.shape[1]), "id": best_i.ravel(), "distance": np.abs(np.round(best_d.ravel(), 6))})
 
         got = vectors.select("id", "vec").mapInPandas(run, "query bigint, id bigint, distance double")
         out = got if out is None else out.unionByName(got)
