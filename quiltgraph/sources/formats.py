@@ -14,7 +14,7 @@ def coverage_profile(spark: SparkSession, path: str) -> DataFrame:
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """(commit, author, ts, file) of records ``commit|author|unix time`` followed by file names, records apart by NUL."""
-    rec = spark.read.option("lineSep", "\u0000").text(path).where("length(trim(value)) > 0")
+    rec = spark.read.text(path, lineSep="\u0000").where("length(trim(value)) > 0")
     parts = rec.select(F.split(F.trim("value"), "\n").alias("p"))
     head = F.split(F.element_at("p", 1), r"\|")
     return parts.select(head[0].alias("commit"), head[1].alias("author"), F.timestamp_seconds(head[2].cast("long")).alias("ts"), F.explode(F.filter(F.expr("slice(p, 2, size(p))"), lambda x: x != "")).alias("file"))
@@ -22,7 +22,7 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
 
 def blame_porcelain(spark: SparkSession, path: str) -> DataFrame:
     """(commit, line, author, ts) from files of line-porcelain records, one file of blame a row."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rec = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^([0-9a-f]{40}) [0-9]+ ([0-9]+)(?:.*\n)author (.*)\n(?:.*\n)*?author-time ([0-9]+)"), F.lit(0))).alias("r"))
     x = lambda p, i: F.regexp_extract("r", p, i)
     return rec.select(x(r"^([0-9a-f]{40})", 1).alias("commit"), x(r"^[0-9a-f]{40} [0-9]+ ([0-9]+)", 1).cast("int").alias("line"), x(r"\nauthor (.*)", 1).alias("author"), F.timestamp_seconds(x(r"author-time ([0-9]+)", 1).cast("long")).alias("ts"))
@@ -30,14 +30,14 @@ def blame_porcelain(spark: SparkSession, path: str) -> DataFrame:
 
 def codeowners(spark: SparkSession, path: str) -> DataFrame:
     """(rule_no, prefix, owner): rules in order, comments left out. A rule file is one small file."""
-    t = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("rule_no", "line"))
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("rule_no", "line"))
     t = t.where(~F.col("line").rlike(r"^\s*(#|$)"))
     return t.select("rule_no", F.regexp_replace(F.regexp_replace(F.regexp_extract("line", r"^\s*(\S+)", 1), "^/", ""), r"\*+$", "").alias("prefix"), F.regexp_extract("line", r"^\s*\S+\s+(.*\S)", 1).alias("owner"))
 
 
 def diff_hunks(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, h_start, h_end) of the new side of unified diffs."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     per_file = text.select(F.explode(F.split("value", r"(?m)^diff --git .*$")).alias("d")).select(F.regexp_extract("d", r"(?m)^\+\+\+ b/(.*)$", 1).alias("file_path"), "d").where("file_path <> ''")
     h = per_file.select("file_path", F.explode(F.regexp_extract_all("d", F.lit(r"(?m)^@@ -[0-9,]+ \+([0-9]+(?:,[0-9]+)?) @@"), F.lit(1))).alias("h"))
     start = F.split("h", ",")[0].cast("int")
