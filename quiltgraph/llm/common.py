@@ -69,11 +69,18 @@ def remove(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished stages now instead of at the next driver GC."""
+    """Let Spark's cleaner drop shuffle files of finished stages now instead of at the next driver GC.
+
+    Python releases its handles on JVM objects in a thread of its own, so there is a pause before the JVM collects.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark._jvm.System.gc()
+    time.sleep(0.4)
 
 
 def rows_between(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -356,11 +356,13 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, n_buckets: int | None
     text = rows.select("ord", "text")
     dealt = text.mapInArrow(_index(n_buckets, length), OUT_SQL).repartition("bucket").sortWithinPartitions("kind", "bucket")
     one = materialize(dealt.mapInArrow(_family(length, True), OUT_SQL).select("kind", "doc", "lo", "hi"), "spans")
+    del dealt  # its shuffle files go once nothing refers to them
     free_shuffles(spark)
     asks = one.where(F.col("kind") == ASK).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("asks"))
     looked = text.join(asks, text.ord == asks.doc).select("ord", "text", "asks")
     dealt = looked.mapInArrow(_asked(n_buckets, length), OUT_SQL).repartition("bucket").sortWithinPartitions("kind", "bucket")
     two = materialize(dealt.mapInArrow(_family(length, False), OUT_SQL).select("doc", "lo", "hi"), "spans")
+    del dealt, looked, asks
     free_shuffles(spark)
     return one.where(F.col("kind") == SPAN).select("doc", "lo", "hi").unionByName(two)
 
