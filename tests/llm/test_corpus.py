@@ -234,6 +234,21 @@ def test_suffix_dedup_of_repeated_and_null_ids(spark):
     assert suffixdedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_stored_family_equals_one_batch(spark, tmp_path):
+    rows = corpus(7)
+    f = suffixdedup.IndexFamily(spark, str(tmp_path / "family"), n_buckets=5)
+    got = set()
+    for k in range(5):
+        part = docs(spark, [(i, t, "s") for i, t in rows[k * 8 : k * 8 + 8]])
+        for r in f.add(part).collect():
+            got |= {(r.doc, x) for x in range(r.lo, r.hi)}
+        assert sorted(r for r, _ in f.levels) == [b for b in range(4) if (k + 1) >> b & 1]
+    want = set()
+    for r in suffixdedup.dedup(docs(spark, [(i, t, "s") for i, t in rows])).collect():
+        want |= {(r.id, x) for s in r.spans for x in range(s.lo, s.hi)}
+    assert got == want
+
+
 def test_family_of_levels():
     rng = np.random.default_rng(2)
     runs = []
@@ -284,7 +299,20 @@ def test_each_id_is_scored_once_and_nothing_looks_ahead():
             z = (lm.attend(p, pad[None])[-1][0, len(before) - 1] @ p["U"] + p["b"]).astype(np.float64)
             total += z[x[i]] - np.log(np.exp(z).sum())
         want.append(total)
-    assert np.allclose(s.texts(seqs), want, atol=1e-3)
+    assert np.allclose(s.texts(np.concatenate(seqs), np.array([len(x) for x in seqs])), want, atol=1e-3)
+
+
+def test_words_are_encoded_alike_in_bulk_and_one_by_one():
+    enc = lm.load_encoder(lm.TOKENIZER)
+    counts = np.arange(lm.END_ID + 1)
+    spaced = np.array([int(i < lm.END_ID and enc.decode_single_token_bytes(i)[:1] == b" ") for i in range(lm.END_ID + 1)])
+    v = lm.Vocabulary(counts, spaced)
+    for ws in ([b"the", b"x1.5,", b"'s", "é".encode(), b"a#b"], [b"a", "b\u00a0".encode(), "\u00a0c\u3000".encode(), b"d"]):
+        w = lm.Words(v.cls, v.inside, v.spaced, lm.TOKENIZER, {b"a": -1.0})
+        n = w.lookup(ws + ws)
+        want = [v.cls[lm.encode_word(enc, x)] for x in ws + ws]
+        assert w.sequences(n).tolist() == np.concatenate(want).tolist()
+        assert np.allclose(w.inside[n], [v.inside[lm.encode_word(enc, x)].sum() for x in ws + ws])
 
 
 def test_probabilities_sum_to_one():
