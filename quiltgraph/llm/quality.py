@@ -31,7 +31,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("too_few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
     ("few_distinct_words", "n_words >= 100 AND 100 * n_distinct_words < 5 * n_words"),
@@ -136,7 +136,7 @@ WITH d AS (
          len(ls)::BIGINT AS n_lines, len(list_distinct(ws))::BIGINT AS n_distinct_words
   FROM w LEFT JOIN cov ON w.r = cov.r
 ), f AS (
-  SELECT *, (n_words < 20) AS r0, (100 * n_repeat_words > 30 * n_words) AS r1, (10 * n_symbols > n_words) AS r2, (100 * n_dup_lines > 30 * n_lines) AS r3,
+  SELECT *, (n_words < 20) AS r0, (100 * n_repeat_words > 30 * n_words) AS r1, (10 * n_symbols > n_words) AS r2, (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) AS r3,
          (word_chars < 2 * n_words) AS r4, (word_chars > 20 * n_words) AS r5, (n_words >= 100 AND 100 * n_distinct_words < 5 * n_words) AS r6 FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (r0 OR r1) AS base_failed, NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6) AS kept,
