@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, materialize, table
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 
@@ -64,6 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # a key that is never null; documents of one size fall into buckets by hash of the id
     rows = rows.withColumn("s", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), "source")))
     rows = rows.withColumn("bucket", F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 3), 16, 10).cast("int"))
+    rows = materialize(rows, "sizes")  # texts are read once; what follows is a few bytes a document
     parts = rows.groupBy("s", "size", "bucket").agg(F.count("*").alias("n"))
     by_size = rows.groupBy("s", "size").agg(F.count("*").alias("n"), F.first("source").alias("source"))
     targets = source_targets(by_size.groupBy("s").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap)
@@ -73,6 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = by_size.where("size > 0").select("s", "size", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first")).join(targets, "s")
     inner = Window.partitionBy("s", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = parts.where("size > 0").select("s", "size", "bucket", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("second")).join(start, ["s", "size"])
+    before = before.repartition("s", "size", "bucket")  # else both sides meet by (s, size), where copies of one text are one key
     ranked = rows.where("size > 0").withColumn("rank", F.row_number().over(Window.partitionBy("s", "size", "bucket").orderBy("id")))
     r = ranked.join(before, ["s", "size", "bucket"]).withColumn("k", F.col("first") + F.col("second") + F.col("rank"))
     e, u = F.col("target") / F.col("source_size"), offset(F.col("source"), seed)
