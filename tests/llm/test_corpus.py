@@ -315,6 +315,21 @@ def test_words_are_encoded_alike_in_bulk_and_one_by_one():
         assert np.allclose(w.inside[n], [v.inside[lm.encode_word(enc, x)].sum() for x in ws + ws])
 
 
+def test_windows_hold_whole_words():
+    enc = lm.load_encoder(lm.TOKENIZER)
+    spaced = np.array([int(i < lm.END_ID and enc.decode_single_token_bytes(i)[:1] == b" ") for i in range(lm.END_ID + 1)])
+    v = lm.Vocabulary(np.arange(lm.END_ID + 1), spaced)
+    w = lm.Words(v.cls, v.inside, v.spaced, lm.TOKENIZER)
+    text = " ".join(f"word{i}x" for i in range(200)).encode()
+    ws = text.split()
+    every = [v.cls[lm.encode_word(enc, x)].tobytes() for x in ws]
+    for lo in (0, 3, 100, 101, 107, len(text) - 30, len(text) - 1):
+        k = next((i for i in range(len(ws)) if len(b" ".join(ws[:i])) + bool(i) >= lo), len(ws))
+        want = (w.end if lo == 0 else b"") + b"".join(every[k:]) + w.end
+        assert w.window(text, lo, 33) == want[:33]
+    assert w.window(b"", 0, 33) == w.end * 2 and w.window(b"x" * 9000, 5, 33) in (b"", w.end)
+
+
 def test_probabilities_sum_to_one():
     counts = np.random.default_rng(3).integers(0, 50, lm.END_ID + 1)
     v = lm.Vocabulary(counts, np.arange(lm.END_ID + 1) % 2)
