@@ -112,7 +112,8 @@ def segments(parts: list[tuple[int, int, bytes]], length: int = LENGTH, k: int =
     first, last = first[ok], last[ok]
     out = np.empty(len(first), SEG)
     a = anchor[first]
-    out["kh"] = grams[a]
+    # anchors are the smallest hashes of their windows: mixed again, they spread evenly over buckets
+    out["kh"] = _mix(grams[a] ^ np.uint64(0x9E3779B97F4A7C15))
     n = last - first + 1
     seg = h.some(first, last + length)
     seg ^= ((a - first) * 128 + n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -284,8 +285,8 @@ def _index(n_buckets: int, length: int):
     return run
 
 
-def _family(length: int, ask: bool):
-    """Buckets of arrays, in order: spans of later equals, and windows to look at one by one."""
+def _family(length: int, ask: bool, keep: bool = False):
+    """Buckets of arrays, in order: spans of later equals, and windows to look at one by one; with keep, the merged arrays too."""
 
     def run(batches):
         now, family = None, Family()
@@ -294,6 +295,8 @@ def _family(length: int, ask: bool):
             kept, gone = family.close()
             if len(gone):
                 yield _rows(SPAN, *merge_ranges(gone["doc"].copy(), gone["start"].astype(np.int64), gone["start"].astype(np.int64) + gone["n"] + (length - 1)), 1)
+            if keep and len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array([RUN], pa.int8()), pa.array([now], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.array([pack(kept)], pa.binary())], schema=OUT)
             if ask and len(kept):
                 same = kept["kh"][1:] == kept["kh"][:-1]
                 twin = np.zeros(len(kept), bool)
@@ -351,12 +354,17 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = [])
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, n_buckets: int | None = None) -> DataFrame:
     """(doc, lo, hi): byte ranges to remove from rows (ord, text); they may overlap."""
-    spark = rows.sparkSession
-    n_buckets = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = n_buckets or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = rows.select("ord", "text")
-    dealt = text.mapInArrow(_index(n_buckets, length), OUT_SQL).repartition("bucket").sortWithinPartitions("kind", "bucket")
+    return _settled(text.mapInArrow(_index(n_buckets, length), OUT_SQL), text, length, n_buckets)
+
+
+def _settled(runs: DataFrame, text: DataFrame, length: int, n_buckets: int) -> DataFrame:
+    """Spans from arrays of segments, and from single windows of text(ord, text) where segments differ."""
+    spark = text.sparkSession
+    dealt = runs.repartition("bucket").sortWithinPartitions("kind", "bucket")
     one = materialize(dealt.mapInArrow(_family(length, True), OUT_SQL).select("kind", "doc", "lo", "hi"), "spans")
-    del dealt  # its shuffle files go once nothing refers to them
+    del dealt, runs  # their shuffle files go once nothing refers to them
     free_shuffles(spark)
     asks = one.where(F.col("kind") == ASK).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("asks"))
     looked = text.join(asks, text.ord == asks.doc).select("ord", "text", "asks")
@@ -367,6 +375,52 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, n_buckets: int | None
     return one.where(F.col("kind") == SPAN).select("doc", "lo", "hi").unionByName(two)
 
 
+class IndexFamily:
+    """A stored family of levels for batches that come one after another.
+
+    ``add`` gives the spans to remove from a new batch, against everything added
+    before; ids of a batch are unique whole numbers above all earlier ones. The
+    batch's sorted arrays become a level of rank 0; two levels of one rank merge into
+    one of the next, so after n batches about log2(n) levels are left to scan and each
+    segment has been rewritten as often. Texts are stored beside the arrays for single windows.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int = 64, length: int = LENGTH):
+        self.spark, self.root, self.n_buckets, self.length = spark, root, n_buckets, length
+        self.levels: list[tuple[int, DataFrame]] = []  # (rank, arrays by bucket)
+        self.texts: list[DataFrame] = []
+        self.written = 0
+
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
+        self.written += 1
+        path = f"{self.root}/{self.written:06d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc, lo, hi) of the new batch."""
+        text = self._store(docs.select(F.col(f"`{id_col}`").cast("long").alias("ord"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), "texts")
+        new = self._store(text.mapInArrow(_index(self.n_buckets, self.length), OUT_SQL), "rank0")
+        runs, every = new, text
+        for _, level in self.levels:
+            runs = runs.unionByName(level)
+        for t in self.texts:
+            every = every.unionByName(t)
+        spans = _settled(runs, every, self.length, self.n_buckets)
+        # equal arrays of earlier batches were settled when they came
+        mine = spans.join(text.select(F.col("ord").alias("doc")), "doc", "left_semi")
+        self.texts.append(text)
+        rank, level = 0, new.where(F.col("kind") == RUN)
+        while any(r == rank for r, _ in self.levels):
+            other = next(x for x in self.levels if x[0] == rank)
+            self.levels.remove(other)
+            dealt = level.unionByName(other[1]).repartition("bucket").sortWithinPartitions("kind", "bucket")
+            rank += 1
+            level = self._store(dealt.mapInArrow(_family(self.length, False, True), OUT_SQL).where(F.col("kind") == RUN), f"rank{rank}")
+        self.levels.append((rank, level))
+        return mine
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] = []) -> DataFrame:
     """(id, kept binary, n_bytes, n_removed, spans array<struct<lo,hi>>, the columns to keep) for every row."""
     rows = numbered(docs, id_col, text_col, keep)
