@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..plans.tables import cut
+from ..plans.tables import cut, cut_measured
 
 
 def weighted_pairs(edges: DataFrame, kinds: list[str]) -> DataFrame:
@@ -29,11 +29,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, kinds: list[str] = ("calls", "r
         n = seeds.select("id").distinct().count()
         base = ids.join(seeds.select("id").distinct().withColumn("s", F.lit(1.0 / n)), "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("restart"))
     base = cut(base.join(step.select(F.col("src").alias("id")).distinct().withColumn("has_out", F.lit(True)), "id", "left").fillna(False, ["has_out"]))
-    rank = base.withColumn("rank", F.col("restart"))
+    loose = F.sum(F.when(~F.col("has_out"), F.col("rank")))
+    rank, seen = cut_measured(base.withColumn("rank", F.col("restart")), dangling=loose)
     for r in range(rounds):
-        dangling = rank.where(~F.col("has_out")).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        dangling = seen["dangling"] or 0.0
         got = rank.join(step, rank.id == step.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        rank = cut(base.join(got, "id", "left").withColumn("rank", (1 - damping) * F.col("restart") + damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("restart"))).drop("got"))
+        step_ = base.join(got, "id", "left").withColumn("rank", (1 - damping) * F.col("restart") + damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("restart"))).drop("got")
+        rank, seen = cut_measured(step_, dangling=loose)
     return rank.select("id", "rank")
 
 
@@ -45,8 +47,8 @@ def hits(nodes: DataFrame, edges: DataFrame, kinds: list[str] = ("calls", "refer
         a = s.join(pairs, s.id == pairs.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("hub") * F.col("w")).alias("a"))
         auth = cut(s.select("id").join(a, "id", "left").fillna(0.0, ["a"]))
         h = auth.join(pairs, auth.id == pairs.dst).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("a") * F.col("w")).alias("h"))
-        both = cut(auth.join(h, "id", "left").fillna(0.0, ["h"]))
-        na, nh = both.agg(F.sqrt(F.sum(F.col("a") * F.col("a"))), F.sqrt(F.sum(F.col("h") * F.col("h")))).first()
+        both, seen = cut_measured(auth.join(h, "id", "left").fillna(0.0, ["h"]), a=F.sum(F.col("a") * F.col("a")), h=F.sum(F.col("h") * F.col("h")))
+        na, nh = (seen["a"] or 0.0) ** 0.5, (seen["h"] or 0.0) ** 0.5
         s = both.select("id", (F.col("h") / F.lit(nh or 1.0)).alias("hub"), (F.col("a") / F.lit(na or 1.0)).alias("authority"))
     return s
 
@@ -59,9 +61,9 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         seen = both.join(label, both.dst == label.id).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
         low = label.join(seen, "id", "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("low"))
         hop = label.select(F.col("id").alias("low"), F.col("component").alias("hop"))
-        new = cut(low.join(hop, "low", "left").select("id", F.col("component").alias("old"), F.least("low", F.coalesce("hop", "low")).alias("component")))
+        new, seen = cut_measured(low.join(hop, "low", "left").select("id", F.col("component").alias("old"), F.least("low", F.coalesce("hop", "low")).alias("component")), moved=F.count_if(F.col("old") != F.col("component")))
         label = new.select("id", "component")
-        if not new.where("old <> component").limit(1).count():
+        if not seen["moved"]:
             return label
 
 
@@ -87,9 +89,9 @@ def strong_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         colour = ids.withColumn("c", F.col("id"))
         while True:
             got = colour.join(rest, colour.id == rest.src).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("m"))
-            new = cut(colour.join(got, "id", "left").select("id", F.col("c").alias("old"), F.greatest("c", F.coalesce("m", "c")).alias("c")))
+            new, seen = cut_measured(colour.join(got, "id", "left").select("id", F.col("c").alias("old"), F.greatest("c", F.coalesce("m", "c")).alias("c")), moved=F.count_if(F.col("old") != F.col("c")))
             colour = new.select("id", "c")
-            if not new.where("old <> c").limit(1).count():
+            if not seen["moved"]:
                 break
         # walk back from each colour's root along edges inside the colour
         inside = cut(rest.join(colour.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").where("a = b").select("src", "dst"))
@@ -116,9 +118,9 @@ def k_core(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         seen = und.join(core, und.dst == core.id).select("src", F.col("core").alias("c")).groupBy("src", "c").agg(F.count("*").alias("n"))
         listed = seen.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("c", "n")), False).alias("l"))
         h = F.aggregate("l", F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("h")), lambda s, x: F.struct((s["t"] + x["n"]).alias("t"), F.greatest(s["h"], F.least(s["t"] + x["n"], x["c"])).alias("h")))["h"]
-        new = cut(core.join(listed.select(F.col("src").alias("id"), h.alias("h")), "id").select("id", F.col("core").alias("old"), F.least("core", "h").alias("core")))
+        new, seen_ = cut_measured(core.join(listed.select(F.col("src").alias("id"), h.alias("h")), "id").select("id", F.col("core").alias("old"), F.least("core", "h").alias("core")), moved=F.count_if(F.col("old") != F.col("core")))
         core = new.select("id", "core")
-        if not new.where("old <> core").limit(1).count():
+        if not seen_["moved"]:
             return nodes.select("id").distinct().join(core, "id", "left").fillna(0, ["core"])
 
 
