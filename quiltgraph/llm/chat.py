@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +82,14 @@ def masked_ranges(starts: np.ndarray, ends: np.ndarray, mask: np.ndarray, spans:
     out: list[tuple[int, int]] = []
     for lo, hi in spans.tolist():
         a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, hi, "left"))
-        end = lo
-        for s, e, on in zip(starts[a:b].tolist(), ends[a:b].tolist(), mask[a:b].tolist()):
-            s, e = max(s, end), min(e, hi)
-            if on and e > s:
-                if out and out[-1][1] == s and s > lo:
-                    out[-1] = (out[-1][0], e)
-                else:
-                    out.append((s, e))
-                end = e
+        on = mask[a:b]
+        s, e = np.maximum(starts[a:b][on], lo), np.minimum(ends[a:b][on], hi)
+        s, e = s[e > s], e[e > s]
+        if len(s):
+            # tokens of one character overlap: a stretch ends where the next token starts behind all before it
+            reach = np.maximum.accumulate(e)
+            first = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])
+            out += zip(s[first].tolist(), reach[np.append(first[1:], len(s)) - 1].tolist())
     return out
 
 
@@ -122,7 +122,7 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
             texts = [d[1] for d in done]
             cols: list[list] = [[] for _ in range(7)]
             for (_, text, spans), enc in zip(done, tok.encode_batch(texts, add_special_tokens=False)):
-                offs = np.array(enc.offsets, np.int32).reshape(-1, 2)
+                offs = np.fromiter(chain.from_iterable(enc.offsets), np.int32).reshape(-1, 2)
                 mask = token_mask(offs[:, 0], offs[:, 1], spans)
                 for c, v in zip(cols, (text, np.array(enc.ids, np.int32), offs[:, 0], offs[:, 1], mask, spans[:, 0].astype(np.int32), spans[:, 1].astype(np.int32))):
                     c.append(v)
