@@ -1,9 +1,10 @@
 """The corpus pipeline against its stages worked out in plain Python."""
 
+import hashlib
 import random
 
 import corpus_pipeline
-from quiltgraph.llm import decontaminate, simhash
+from quiltgraph.llm import decontaminate, nearcopies, simhash
 from quiltgraph.llm.common import words
 
 from .test_corpus import DOCS, plain_removal
@@ -49,3 +50,36 @@ def test_stages_on_nothing(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, empty, str(tmp_path)).count() == 0
     assert decontaminate.windows_of(words("a b")) == [[b"a", b"b"]]
+
+
+def test_near_copies_by_jaccard(spark):
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(5000)}"
+    rows, n = [], 0
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice((60, 150, 400)))]
+        rows.append((n, " ".join(base)))
+        near = list(base)
+        # each changed word changes up to five shingles on both sides
+        for at in rng.sample(range(5, len(base) - 5), rng.randrange(1, max(3, len(base) // 25))):
+            near[at] = word()
+        rows.append((n + 1, " ".join(near)))
+        n += 2
+    one = [word() for _ in range(150)]
+    for _ in range(40):  # a large group, in tiles
+        near = list(one)
+        near[rng.randrange(150)] = word()
+        rows.append((n, " ".join(near)))
+        n += 1
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    comp = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum((simhash.fingerprint(rows[a][1]) ^ simhash.fingerprint(rows[b][1])).bit_count() > 4 for a, b in pairs) > 20
+    for _ in range(50):
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()} == set(comp.values())
+    named = {r.h: r.component for r in nearcopies.groups(d, tile=16).collect()}
+    mine = {i: named.get(hashlib.md5(t.encode()).hexdigest(), -1 - i) for i, t in rows}
+    assert all((mine[a] == mine[b]) == (comp[a] == comp[b]) for a in comp for b in comp)
