@@ -1,7 +1,7 @@
 """SimHash near-duplicate groups with pivot distance tables.
 
 1. ``fingerprints``: one 64-bit fingerprint a document, over hashed word shingles.
-2. Equal fingerprints fold into one node (smallest id), so a group of exact
+2. Equal fingerprints fold into one node, so a group of exact
    copies, however large, is one node and no pair.
 3. ``links``: nodes meet in tables keyed by two of six bit blocks (at most four
    differing bits leave two blocks equal, so no link is missed). Inside a bucket
@@ -189,10 +189,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp bigint, component_id): every row with its fingerprint and the smallest id that links reach."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("node"))
-    comp = components(links(nodes.where("node is not null"), radius))
+    # nodes are fingerprints, so those of null ids only link others too
+    nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    comp = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    named = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("low").alias("component_id"))
     # written, so that the join deals out both sides anew and a fingerprint of very many rows can be split
-    named = materialize(nodes.join(comp, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "named")
+    named = materialize(named.join(least, "label").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -83,3 +83,37 @@ def test_near_copies_by_jaccard(spark):
     named = {r.h: r.component for r in nearcopies.groups(d, tile=16).collect()}
     mine = {i: named.get(hashlib.md5(t.encode()).hexdigest(), -1 - i) for i, t in rows}
     assert all((mine[a] == mine[b]) == (comp[a] == comp[b]) for a in comp for b in comp)
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"u{rng.randrange(4000)}" for _ in range(n))
+    bench = text(15)
+    t = [text(80) for _ in range(8)]
+    bad = text(30) + " " + bench + " " + text(30)
+    rows = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (None, t[4]), (9, t[4]), (8, t[5]), (8, t[5]), (None, bad), (7, bad + " " + t[6]), (None, t[7]), (None, t[7])]
+    d = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], DOCS)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = lambda rs: sorted(((r.doc_id, r.text) for r in rs), key=str)
+    near = corpus_pipeline.near_dedup(spark, d, str(tmp_path)).collect()
+    once = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (9, t[4]), (8, t[5]), (None, bad), (7, bad + " " + t[6]), (None, t[7])]
+    assert at(near) == sorted(once, key=str)
+    clean = corpus_pipeline.decontamination(spark, d, str(tmp_path)).collect()
+    assert at(clean) == sorted([r for r in rows if bench not in r[1]], key=str)
+    mixed = corpus_pipeline.mixture(spark, d, str(tmp_path)).collect()
+    # one source: target 1.5 times its size, so a row is there once or twice, each of two equal rows too
+    per = lambda x: sum(r.text == x for r in mixed)
+    assert all(1 <= per(x) <= 2 for x in (t[0], t[1], t[2], t[3], bad)) and all(2 <= per(x) <= 4 for x in (t[4], t[5], t[7]))
+
+
+def test_chains_through_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(5, "a"), (None, "b"), (6, "c")], "doc_id long, text string")
+    fps = {"a": 0, "b": 0b1111, "c": 0b11111111}
+    made, simhash.fingerprints = simhash.fingerprints, lambda d, *_: d.select(F.col("doc_id").alias("id"), F.create_map(*[F.lit(x) for kv in fps.items() for x in kv])[F.col("text")].cast("long").alias("fp"))
+    try:
+        got = simhash.near_duplicates(docs).collect()
+    finally:
+        simhash.fingerprints = made
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (None, 5), (6, 5)}
