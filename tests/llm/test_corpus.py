@@ -363,3 +363,17 @@ def test_lm_scores(spark):
     ho = lambda rs: sum(r.score for r in rs if r.held_out)
     assert ho(got) < 0
     assert lm.score(docs(spark, [])).count() == 0
+
+
+def test_training_covers_every_position(spark):
+    rng = np.random.default_rng(2)
+    seqs = [rng.integers(1, 99, n).astype(np.uint8).tobytes() for n in (2, 3, 32, 33, 34, 65, 66, 500)]
+    wins, lengths = lm.consecutive(seqs)
+    assert b"".join(w[1:n].tobytes() for w, n in zip(wins, lengths)) == b"".join(s[1:] for s in seqs)
+    # texts without ASCII spaces and long ones too: all ids, between two ends
+    enc = lm.load_encoder(lm.TOKENIZER)
+    v = lm.Vocabulary(np.arange(lm.END_ID + 1), np.array([int(i < lm.END_ID and enc.decode_single_token_bytes(i)[:1] == b" ") for i in range(lm.END_ID + 1)]))
+    texts = ["\u6f22\u5b57" * 3000, "word " * 9000, "", None]
+    got = {bytes(r.seq) for r in lm.encoded(spark.createDataFrame([(t,) for t in texts], "text string"), v, lm.TOKENIZER).collect()}
+    end = v.cls[lm.END_ID : lm.END_ID + 1].tobytes()
+    assert got == {end + b"".join(v.cls[lm.encode_word(enc, w)].tobytes() for w in lm.tokens(t)) + end for t in texts}
