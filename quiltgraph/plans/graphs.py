@@ -109,7 +109,20 @@ def _sparse(g: Graph) -> DataFrame:
     return g.edges.where("kind = 'calls' AND confidence > 0.995").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "origin")
 
 
-graph("f5_f6_betweenness", lambda g: (lambda p: G.betweenness(p, G.pivots(p.select(F.col("src").alias("id")).distinct(), 64), p.count()))(_sparse(g).select("src", "dst").distinct()).select("id", F.round("score", 4).alias("score")), None)
+def _calls(g: Graph) -> DataFrame:
+    """(src, dst): every call and reference pair."""
+    return G.weighted_pairs(g.edges, ["calls", "references"]).select("src", "dst")
+
+
+def _between(g: Graph) -> DataFrame:
+    """From every node of up to 2,000, else from 256 pivots."""
+    p = _calls(g)
+    ids = p.select(F.col("src").alias("id")).union(p.select("dst")).distinct()
+    n = ids.count()
+    return G.betweenness(p, ids if n <= 2000 else G.pivots(ids), n).select("id", F.round("score", 4).alias("score"))
+
+
+graph("f5_f6_betweenness", _between, None)
 graph("f7_weak_components", lambda g: G.components(g.nodes.where("kind IN ('function', 'method')"), _sparse(g)).groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), ", s AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM edges WHERE kind = 'calls' AND confidence > 0.995), WCC_MARK SELECT component, count(*) AS size FROM wcc WHERE id IN (SELECT id FROM nodes WHERE kind IN ('function', 'method')) GROUP BY component HAVING count(*) > 1")
 _TRADE = "SELECT DISTINCT 'n' || CAST(c_nationkey AS VARCHAR(20)) AS src, 'n' || CAST(s_nationkey AS VARCHAR(20)) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0.1 AND l_returnflag = 'R'"
 _NATION = "SELECT 'n' || CAST(n_nationkey AS VARCHAR(20)) AS id FROM nation"
@@ -122,8 +135,8 @@ def _cycles(g: Graph) -> DataFrame:
 
 
 graph("f9_cycles", _cycles, f", t AS MATERIALIZED ({_TRADE}), SCC_MARK SELECT component, count(*) AS size, 1 AS severity FROM (SELECT id, coalesce((SELECT min(x.b) FROM scc x JOIN scc y ON x.a = y.b AND x.b = y.a WHERE x.a = n.id), id) AS component FROM ({_NATION}) n) GROUP BY 1 HAVING count(*) >= 2")
-graph("f10_k_core", lambda g: G.k_core(g.nodes.where("kind IN ('function', 'method')"), _sparse(g)), None)
-graph("f11_f12_communities", lambda g: G.communities(g.nodes.where("kind IN ('function', 'method')"), _sparse(g).withColumn("w", S.provenance_weight(F.col("origin"))), rounds=4).groupBy("community").agg(F.count("*").alias("size")), None)
+graph("f10_k_core", lambda g: G.k_core(g.nodes, _calls(g)), None)
+graph("f11_f12_communities", lambda g: G.communities(g.nodes, G.weighted_pairs(g.edges, ["calls", "references"])).groupBy("community").agg(F.count("*").alias("size")), None)
 graph("f13_edge_weights", lambda g: g.edges.groupBy("kind").agg(F.round(F.sum(S.community_weight(F.col("kind"))), 3).alias("w")), "SELECT kind, round(sum(CASE kind WHEN 'calls' THEN 3.0::DOUBLE WHEN 'member_of' THEN 2.0::DOUBLE WHEN 'implements' THEN 2.0::DOUBLE WHEN 'references' THEN 1.5::DOUBLE WHEN 'imports' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 3) AS w FROM edges GROUP BY kind")
 graph("f16_zoom", lambda g: G.zoom(g.edges, g.nodes.select("id", F.col("file_path").alias("unit")), ["calls", "references"]), "SELECT a.file_path AS from_unit, b.file_path AS to_unit, count(*) AS n FROM edges e JOIN nodes a ON from_id = a.id JOIN nodes b ON to_id = b.id WHERE e.kind IN ('calls', 'references') AND a.file_path <> b.file_path GROUP BY 1, 2")
 

@@ -175,3 +175,21 @@ def test_empty_tables(spark):
     assert G.components(ids(spark), e.selectExpr("from_id AS src", "to_id AS dst")).count() == 0
     assert G.strong_components(ids(spark), e.selectExpr("from_id AS src", "to_id AS dst")).count() == 0
     assert T.bfs(e, ids(spark, "a")).count() == 1
+
+
+def test_whole_call_graph_is_analysed(spark):
+    from types import SimpleNamespace
+
+    from quiltgraph import catalog
+    from quiltgraph.plans import graphs
+
+    # a path a > b > c, closed to a triangle by a reference of low confidence
+    rows = [("a", "b", "calls", 0.9), ("b", "c", "calls", 0.9), ("a", "c", "references", 0.5)]
+    e = spark.createDataFrame([(s, d, k, c, "ast_resolved") for s, d, k, c in rows], "from_id string, to_id string, kind string, confidence double, origin string")
+    n = spark.createDataFrame([(i, "type" if i == "c" else "function") for i in "abcd"], "id string, kind string")
+    catalog.queries()
+    made = SimpleNamespace(spark=spark, nodes=n, edges=e)
+    assert got(graphs._calls(made)) == {("a", "b"), ("b", "c"), ("a", "c")}
+    assert dict(got(graphs.G.k_core(n, graphs._calls(made)))) == {"a": 2, "b": 2, "c": 2, "d": 0}
+    only = SimpleNamespace(edges=e.where("kind = 'calls'"), nodes=n, spark=spark)
+    assert dict(got(graphs._between(only))) == {"b": 1.0}  # exact, scaled by nodes, not by pairs
