@@ -1,7 +1,9 @@
 """License scans by exact set-similarity join.
 
-Blocks are lines, long lines cut into overlapping runs of RUN words (every stretch
-of RUN / 2 words lies inside one). A block meets a template when the share of the
+Blocks are lines, long lines cut into overlapping runs (every stretch of half a run
+lies inside one), and the same runs over the whole text, across lines, so that a
+wrapped notice is one block. A run has RUN words, or twice the words of the longest
+template if that is more. A block meets a template when the share of the
 template's different words that it holds is at least the threshold. Words are
 ordered by their count in all documents, rarest first (words of no template come
 after all others: any order is exact, this one is short). Three filters leave few
@@ -73,6 +75,7 @@ class Matcher:
         order = sorted(vocab, key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.templates, self.prefix = [], {}
+        self.run = max([RUN, *(2 * len(words(t)) for _, t in templates)])
         for label, text in templates:
             t = sorted({self.rank[w] for w in words(text)})
             need = max(1, -(-len(t) * round(threshold * 1000) // 1000))
@@ -105,7 +108,7 @@ class Matcher:
         return found
 
 
-def scan_text(text: str | None, m: Matcher, run: int = RUN) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, int, float]]]:
+def scan_text(text: str | None, m: Matcher, run: int | None = None) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, int, float]]]:
     """(n_words, base places (first word, label), matches (template, lo, hi, containment)) of one text."""
     if not text:
         return 0, [], []
@@ -123,6 +126,7 @@ def scan_text(text: str | None, m: Matcher, run: int = RUN) -> tuple[int, list[t
     matches = []
     hot = np.flatnonzero(m.first[ranks])
     if len(hot):
+        run = run or m.run
         ends = np.cumsum([len(x) for x in lines])
         done = set()
         for line in np.unique(np.searchsorted(ends, hot, "right")).tolist():
@@ -133,6 +137,14 @@ def scan_text(text: str | None, m: Matcher, run: int = RUN) -> tuple[int, list[t
                     if (k, line, share) not in done:
                         done.add((k, line, share))
                         matches.append((k, a, b, share))
+        # across lines: runs with a hot word; a notice that is there already is not named again
+        at = hot // (run // 2)
+        last = max(0, -(-n // (run // 2)) - 2)
+        for i in np.unique(np.clip(np.r_[at, at - 1], 0, last)).tolist() if len(lines) > 1 else ():
+            a, b = i * (run // 2), min(i * (run // 2) + run, n)
+            for k, share in m.block(ranks[a:b]):
+                if not any(k == j and lo < b and hi > a and s >= share for j, lo, hi, s in matches):
+                    matches.append((k, a, b, share))
     return n, base, matches
 
 

@@ -377,3 +377,20 @@ def test_training_covers_every_position(spark):
     got = {bytes(r.seq) for r in lm.encoded(spark.createDataFrame([(t,) for t in texts], "text string"), v, lm.TOKENIZER).collect()}
     end = v.cls[lm.END_ID : lm.END_ID + 1].tobytes()
     assert got == {end + b"".join(v.cls[lm.encode_word(enc, w)].tobytes() for w in lm.tokens(t)) + end for t in texts}
+
+
+def test_wrapped_and_long_licenses():
+    long = " ".join(f"clause{i}" for i in range(90))
+    templates = [*licenses.TEMPLATES, ("long", long)]
+    m = licenses.Matcher(templates, licenses.PHRASES, {}, 0.8)
+    labels = lambda t: {templates[k][0] for k, *_ in licenses.scan_text(t, m)[2]}
+    pad = " ".join(f"x{i}" for i in range(150))
+    for label, t in templates:
+        ws = t.split()
+        for before in (0, 1, 17, 40, 80, 131):
+            head = " ".join(pad.split()[:before])
+            for width in (1, 2, 4, 7, len(ws)):
+                wrapped = "\n".join(" ".join(ws[i : i + width]) for i in range(0, len(ws), width))
+                assert label in labels(f"{head}\n{wrapped}\n{pad}"), (label, before, width)
+            assert label in labels(f"{head} {t} {pad}"), (label, before)
+    assert labels(pad + "\n" + pad) == set()
