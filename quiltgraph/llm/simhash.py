@@ -3,19 +3,25 @@
 1. ``fingerprints``: one 64-bit fingerprint a document, over hashed word shingles.
 2. Equal fingerprints fold into one node, so a group of exact
    copies, however large, is one node and no pair.
-3. ``links``: nodes meet in tables keyed by two of six bit blocks (at most four
-   differing bits leave two blocks equal, so no link is missed). Inside a bucket
-   the precomputed distances to PIVOTS reference fingerprints discard a pair whose
-   largest coordinate difference exceeds the radius (triangle inequality); exact
-   Hamming distance verifies the survivors. A bucket emits a star for each of
-   its connected sets, at most one row a node, never all pairs.
+3. ``pivot_table``: the Hamming distances of every node to N_PIVOTS reference fingerprints, computed
+   once and stored beside it.
+4. ``links``: nodes meet in tables keyed by equal bit blocks (see ``block_tables``; with e more blocks
+   than the radius, e of them are equal in every linked pair, so no link is missed). Inside a bucket rows are
+   sorted by their first pivot distance, and a row meets the following ones only while that distance
+   is within the radius; of these pairs the largest difference of any other pivot distance discards
+   most (triangle inequality), and exact Hamming distance verifies the survivors.
+   A bucket emits a star for each of its connected sets, at most one row a node, never all pairs.
    Buckets of over TILE rows are cut into tiles of chunk pairs, so that a task
    never holds more than two chunks; every pair of the bucket is still in a tile.
-4. ``components``: min-label propagation with pointer jumping, one checkpoint a round.
+   ``pair_counts`` says how many pairs each step discards.
+5. ``components``: min-label propagation with pointer jumping, one checkpoint a round.
 
-Pivot coordinates alone cannot name buckets for random fingerprints (distances
-to any pivot crowd around 32), so bit blocks choose who meets and the pivot
-table decides who is verified.
+Pivot distances of random fingerprints crowd around 32, so 57 % of all pairs are within the radius on any one
+of them: a sort by one coordinate over all nodes would leave half of all pairs. Therefore blocks first
+choose who meets; pivots do the rest.
+
+``near_copies`` links by Jaccard similarity of shingle sets instead of a radius (see ``nearcopies``):
+64 bits cannot decide 0.8, where two fingerprints differ in some 10 bits.
 
 Nulls: a null text has no words, fingerprint zero. Null ids are their own rows;
 a group of null ids only has a null component. Repeated rows: same fingerprint,
@@ -35,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, materialize, remove
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
-#: Bit blocks (start, length) of the tables; any two of them are one table's key.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Nodes that a bucket holds at most on average before keys widen.
+PER_BUCKET = 8
 N_PIVOTS = 16
 TILE = 4096
 
@@ -75,15 +81,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+
+
+def block_tables(radius: int, n_nodes: int) -> list[list[tuple[int, int]]]:
+    """The bit blocks (start, length) of each table's key.
 
+    With radius + e blocks, ``e`` of them are equal in every pair within the radius, so a table for each choice
+    of e blocks misses no pair. ``e`` is the smallest number whose keys spread n_nodes over buckets of PER_BUCKET.
+    """
+    e = 2
+    while e < 4 and n_nodes > PER_BUCKET << (64 * e // (radius + e)):
+        e += 1
+    cuts = [64 * i // (radius + e) for i in range(radius + e + 1)]
+    return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in c] for c in combinations(range(radius + e), e)]
 
-def _bucket_stars(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key: star edges (node, smallest node) of the sets that verified pairs connect within a key."""
+
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp) with dist: a byte for the distance to each pivot."""
+
+    def run(batches):
+        for b in batches:
+            d = np.bitwise_count(b.column(1).to_numpy().view(np.uint64)[:, None] ^ pivots()[None, :])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in d], pa.binary())], ["node", "fp", "dist"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "node bigint, fp bigint, dist binary")
+
+
+def _bucket_stars(key: np.ndarray, fp: np.ndarray, dist: np.ndarray, node: np.ndarray, radius: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows grouped by key: star edges (node, smallest node) of the sets that verified pairs connect within a key. counts adds up pairs within the radius on the first pivot, on all, and in truth."""
+    order = np.lexsort((dist[:, 0], key))
+    key, fp, dist, node = key[order], fp[order], dist[order], node[order]
     n = len(key)
     parent = np.arange(n)
-    # the pivot distance table of these rows
-    dist = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -95,17 +125,21 @@ def _bucket_stars(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int
     shift = 1
     while len(left):
         left = left[left + shift < n]
-        left = left[key[left] == key[left + shift]]
+        # sorted by the first distance: beyond the radius there is nothing further on
+        left = left[(key[left] == key[left + shift]) & (dist[left + shift, 0] - dist[left, 0] <= radius)]
         if not len(left):
             break
         # rows already in one set need no further look
         open_ = left[parent[left] != parent[left + shift]]
         near = open_
-        for p in range(0, dist.shape[1], 4):
+        for p in range(1, dist.shape[1], 4):
             if not len(near):
                 break
             near = near[(np.abs(dist[near, p : p + 4] - dist[near + shift, p : p + 4]) <= radius).all(1)]
+        passed = len(near)
         near = near[np.bitwise_count(fp[near] ^ fp[near + shift]) <= radius]
+        if counts is not None:
+            counts += (len(open_), passed, len(near))
         for i in near.tolist():
             a, b = find(i), find(i + shift)
             if a != b:
@@ -124,47 +158,74 @@ def _bucket_stars(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int
     return node[keep], root[keep]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b) star edges between nodes (node bigint, fp bigint, fp distinct) that chains of verified links connect."""
-    tables = list(combinations(range(len(BLOCKS)), 2))
-    block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)) for s, n in BLOCKS]
-    key = [(F.lit(t) * (1 << 24) + F.shiftleft(block[i], 11).bitwiseOR(block[j])).cast("long") for t, (i, j) in enumerate(tables)]
-    rows = nodes.select("node", "fp", F.explode(F.array(*key)).alias("key"))
-    big = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("key", F.ceil(F.col("n") / (tile // 2)).cast("int").alias("m"))
-    cut = rows.join(big, "key", "left")
+def bucket_rows(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(key, part, node, fp, dist) in order: the tiles of all buckets."""
+    tables = block_tables(radius, nodes.count())
+    keys = []
+    for t, blocks in enumerate(tables):
+        key = F.lit(t).cast("long")
+        for start, length in blocks:
+            key = F.shiftleft(key, length).bitwiseOR(F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << length) - 1)))
+        keys.append(key)
+    rows = nodes.select("node", "fp", "dist", F.explode(F.array(*keys)).alias("key"))
+    big = nodes.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    cut = rows.join(big.select("key", F.ceil(F.col("n") / (tile // 2)).cast("int").alias("m")), "key", "left")
     mine = F.pmod(F.xxhash64("node", "key"), F.col("m").cast("long")).cast("int")
     part = F.when(F.col("m").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: (F.least(o, mine).cast("long") * F.col("m") + F.greatest(o, mine)))
     )
-    dealt = cut.select("node", "fp", "key", F.explode(part).alias("part"))
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return cut.select("key", F.explode(part).alias("part"), "node", "fp", "dist").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+
+
+def _bucket_batches(batches, tile: int):
+    """(bucket number, fp, dist, node) arrays of whole buckets from sorted rows."""
+    held: list[pa.RecordBatch] = []
+
+    def out(tbl: pa.Table):
+        k, p = tbl.column("key").to_numpy(), tbl.column("part").to_numpy()
+        new = np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])] if len(k) else np.zeros(0, bool)
+        dist = np.frombuffer(b"".join(tbl.column("dist").to_pylist()), np.int8).reshape(len(k), N_PIVOTS)
+        return np.cumsum(new), tbl.column("fp").to_numpy().view(np.uint64), dist, tbl.column("node").to_numpy().copy()
+
+    for b in batches:
+        held.append(b)
+        tbl = pa.Table.from_batches(held).combine_chunks()
+        k, p = tbl.column("key").to_numpy(), tbl.column("part").to_numpy()
+        if not len(k):
+            continue
+        # the last bucket may go on in the next batch
+        other = (k != k[-1]) | (p != p[-1])
+        last = len(k) - int(np.argmax(other[::-1])) if other.any() else 0
+        if last and tbl.num_rows >= 2 * tile:
+            yield out(tbl.slice(0, last))
+            tbl = tbl.slice(last)
+        held = tbl.to_batches()
+    if held:
+        yield out(pa.Table.from_batches(held).combine_chunks())
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b) star edges between nodes (node bigint, fp bigint, dist binary, fp distinct) that chains of verified links connect."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        for key, fp, dist, node in _bucket_batches(batches, tile):
+            a, b = _bucket_stars(key, fp, dist, node, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        def out(tbl: pa.Table):
-            k = tbl.column("key").to_numpy()
-            p = tbl.column("part").to_numpy()
-            new = np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])] if len(k) else np.zeros(0, bool)
-            a, b = _bucket_stars(np.cumsum(new), tbl.column("fp").to_numpy().view(np.uint64), tbl.column("node").to_numpy().copy(), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    return bucket_rows(nodes, radius, tile).mapInArrow(run, "a bigint, b bigint")
 
-        for b in batches:
-            held.append(b)
-            tbl = pa.Table.from_batches(held).combine_chunks()
-            k, p = tbl.column("key").to_numpy(), tbl.column("part").to_numpy()
-            if not len(k):
-                continue
-            # the last bucket may go on in the next batch
-            last = len(k) - int(np.argmax(((k != k[-1]) | (p != p[-1]))[::-1])) if ((k != k[-1]) | (p != p[-1])).any() else 0
-            if last and tbl.num_rows >= 2 * tile:
-                yield out(tbl.slice(0, last))
-                tbl = tbl.slice(last)
-            held = tbl.to_batches()
-        if held:
-            yield out(pa.Table.from_batches(held).combine_chunks())
-
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+def pair_counts(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row: pairs of a bucket within the radius on the first pivot, those within it on all pivots, and those within it in truth (pairs that are connected already are not looked at)."""
+
+    def run(batches):
+        counts = np.zeros(3, np.int64)
+        for key, fp, dist, node in _bucket_batches(batches, tile):
+            _bucket_stars(key, fp, dist, node, radius, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in counts], ["first_pivot", "all_pivots", "verified"])
+
+    rows = bucket_rows(nodes, radius, tile).mapInArrow(run, "first_pivot bigint, all_pivots bigint, verified bigint")
+    return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,18 +248,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp bigint, component_id): every row with its fingerprint and the smallest id that links reach."""
+    """(id, fp bigint, component_id): every row with its fingerprint and the smallest id that links reach."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     # nodes are fingerprints, so those of null ids only link others too
     nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    comp = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    table = materialize(pivot_table(nodes.select(F.col("fp").alias("node"), "fp")), "pivots")
+    comp = components(links(table, radius))
     named = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("low").alias("component_id"))
     # written, so that the join deals out both sides anew and a fingerprint of very many rows can be split
     named = materialize(named.join(least, "label").select("fp", "component_id"), "named")
+    remove(table)
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def near_copies(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(h, component) by Jaccard similarity of shingle sets instead of a radius; h is ``nearcopies.folded`` of the text, and only linked texts have a row."""
+    from . import nearcopies
+
+    return nearcopies.groups(docs, text_col, shingle, similarity)
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -60,10 +60,24 @@ def test_links_of_a_large_bucket_in_tiles(spark):
     want = list(range(len(fps)))
     for _ in range(20):
         want = [min(want[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4) for i in range(len(fps))]
+    table = simhash.pivot_table(n)
+    assert all(list(r.dist) == [(r.fp % 2**64 ^ int(p)).bit_count() for p in simhash.pivots()] for r in table.collect())
     for tile in (4096, 16):
-        edges = simhash.links(n, tile=tile)
+        edges = simhash.links(table, tile=tile)
         got = {r.node: r.label for r in simhash.components(edges).collect()}
         assert [got.get(i, i) for i in range(len(fps))] == want
+    c = simhash.pair_counts(table).first()
+    assert c.first_pivot > c.all_pivots >= c.verified > 0
+
+
+def test_block_tables_miss_no_pair():
+    rng = np.random.default_rng(3)
+    for n_nodes, tables, bits in ((1000, 15, 20), (10**8, 35, 26), (10**10, 70, 30)):
+        got = simhash.block_tables(4, n_nodes)
+        assert len(got) == tables and min(sum(n for _, n in t) for t in got) >= bits
+        for _ in range(200):
+            diff = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(all(diff >> s & ((1 << n) - 1) == 0 for s, n in t) for t in got)
 
 
 # Mixing

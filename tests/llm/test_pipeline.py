@@ -32,7 +32,13 @@ def test_pipeline(spark, tmp_path):
     after = {i: k.decode() for i, _, _, _, k in plain_removal(sorted(kept.items()), 100)}
     assert passage not in after[301]
     after.pop(400)
-    assert {r.doc_id for r in out} <= set(after) and {r.text for r in out} <= set(after.values())
+    # every kept document takes part: one source, or shares that leave none without a copy
+    got = {r.doc_id: r.text for r in out}
+    assert got.items() <= after.items()
+    stages = d
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stages = f(spark, stages, str(tmp_path))
+    assert {r.doc_id: r.text for r in stages.collect()} == after
     sizes = {}
     for i, t in after.items():
         sizes[f"s{i % 3}"] = sizes.get(f"s{i % 3}", 0) + len(t.split())
@@ -80,9 +86,38 @@ def test_near_copies_by_jaccard(spark):
             comp[a] = comp[b] = min(comp[a], comp[b])
     d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()} == set(comp.values())
-    named = {r.h: r.component for r in nearcopies.groups(d, tile=16).collect()}
-    mine = {i: named.get(hashlib.md5(t.encode()).hexdigest(), -1 - i) for i, t in rows}
-    assert all((mine[a] == mine[b]) == (comp[a] == comp[b]) for a in comp for b in comp)
+    for tile in (16, 1024):
+        named = {r.h: r.component for r in nearcopies.groups(d, tile=tile).collect()}
+        mine = {i: named.get(hashlib.md5(t.encode()).hexdigest(), -1 - i) for i, t in rows}
+        assert all((mine[a] == mine[b]) == (comp[a] == comp[b]) for a in comp for b in comp)
+
+
+def test_cut_characters_go_and_own_marks_stay(spark, tmp_path):
+    both = "\u00e9" * 120
+    text = "keep \ufffd and \ue000\ufffd " + both[:60] + "\u00eb" + both[:61]
+    d = spark.createDataFrame([(1, "x" + both, "en", "s", 121), (2, text, "en", "s", len(text)), (3, "\ufffd \ue000\ue001", "en", "s", 3)], DOCS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, d, str(tmp_path)).collect()}
+    removed = {i: k for i, _, _, _, k in plain_removal([(r[0], r[1]) for r in d.select("doc_id", "text").collect()], 100)}
+    assert got[3] == "\ufffd \ue000\ue001" and got[2].startswith("keep \ufffd and \ue000\ufffd ")
+    assert got == {i: k.decode("utf-8", "ignore") for i, k in removed.items()}
+
+
+def test_family_without_a_hub(spark):
+    """A chain: each text is near the next one only, so no member is near all others."""
+    rng = random.Random(8)
+    now = [f"c{rng.randrange(9000)}" for _ in range(200)]
+    texts = [" ".join(now)]
+    for step in range(30):
+        now = list(now)
+        now[(step * 37) % 190 + 3] = f"n{step}"
+        now[(step * 53) % 190 + 3] = f"m{step}"
+        texts.append(" ".join(now))
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    sets = [nearcopies.shingles(t) for t in texts]
+    assert nearcopies.jaccard(sets[0], sets[-1]) < 0.5 and all(nearcopies.jaccard(a, b) >= 0.8 for a, b in zip(sets, sets[1:]))
+    for tile in (4, 1024):
+        got = nearcopies.groups(d, tile=tile).collect()
+        assert len(got) == len(texts) and len({r.component for r in got}) == 1
 
 
 def test_null_and_repeated_ids_keep_their_rows(spark, tmp_path):
