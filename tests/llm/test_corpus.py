@@ -329,21 +329,6 @@ def test_words_are_encoded_alike_in_bulk_and_one_by_one():
         assert np.allclose(w.inside[n], [v.inside[lm.encode_word(enc, x)].sum() for x in ws + ws])
 
 
-def test_windows_hold_whole_words():
-    enc = lm.load_encoder(lm.TOKENIZER)
-    spaced = np.array([int(i < lm.END_ID and enc.decode_single_token_bytes(i)[:1] == b" ") for i in range(lm.END_ID + 1)])
-    v = lm.Vocabulary(np.arange(lm.END_ID + 1), spaced)
-    w = lm.Words(v.cls, v.inside, v.spaced, lm.TOKENIZER)
-    text = " ".join(f"word{i}x" for i in range(200)).encode()
-    ws = text.split()
-    every = [v.cls[lm.encode_word(enc, x)].tobytes() for x in ws]
-    for lo in (0, 3, 100, 101, 107, len(text) - 30, len(text) - 1):
-        k = next((i for i in range(len(ws)) if len(b" ".join(ws[:i])) + bool(i) >= lo), len(ws))
-        want = (w.end if lo == 0 else b"") + b"".join(every[k:]) + w.end
-        assert w.window(text, lo, 33) == want[:33]
-    assert w.window(b"", 0, 33) == w.end * 2 and w.window(b"x" * 9000, 5, 33) in (b"", w.end)
-
-
 def test_probabilities_sum_to_one():
     counts = np.random.default_rng(3).integers(0, 50, lm.END_ID + 1)
     v = lm.Vocabulary(counts, np.arange(lm.END_ID + 1) % 2)
@@ -388,9 +373,32 @@ def test_training_covers_every_position(spark):
     enc = lm.load_encoder(lm.TOKENIZER)
     v = lm.Vocabulary(np.arange(lm.END_ID + 1), np.array([int(i < lm.END_ID and enc.decode_single_token_bytes(i)[:1] == b" ") for i in range(lm.END_ID + 1)]))
     texts = ["\u6f22\u5b57" * 3000, "word " * 9000, "", None]
-    got = {bytes(r.seq) for r in lm.encoded(spark.createDataFrame([(t,) for t in texts], "text string"), v, lm.TOKENIZER).collect()}
+    got = {}
+    for r in lm.encoded(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), v, lm.TOKENIZER).collect():
+        assert 2 <= len(r.seq) <= lm.CHUNK + 1
+        got.setdefault(r.no, set()).add(bytes(r.seq))
     end = v.cls[lm.END_ID : lm.END_ID + 1].tobytes()
-    assert got == {end + b"".join(v.cls[lm.encode_word(enc, w)].tobytes() for w in lm.tokens(t)) + end for t in texts}
+    for t in texts:
+        full = end + b"".join(v.cls[lm.encode_word(enc, w)].tobytes() for w in lm.tokens(t)) + end
+        for no, at in enumerate(range(0, len(full) - 1, lm.CHUNK)):
+            assert full[at : at + lm.CHUNK + 1] in got[no]
+
+
+def test_partitions_do_not_change_scores(spark):
+    rows = [(i, t, "s") for i, t in enumerate(sentences(80, 21, vocab=60))] + [(i, "same text again", "s") for i in range(200, 240)]
+    d = docs(spark, rows)
+    one, two = ({r.id: r.score for r in lm.score(x, shard=500).collect()} for x in (d.repartition(1), d.repartition(7)))
+    # but for the order of float sums inside a batch of windows
+    assert one.keys() == two.keys() and len(one) == len(rows) and np.allclose([one[i] for i in one], [two[i] for i in one], rtol=1e-5, atol=1e-5)
+
+
+def test_most_counted(spark):
+    n = [1] * 50 + [2] * 20 + [5, 9, 100, 1000]
+    c = spark.createDataFrame([(f"w{i}".encode(), k) for i, k in enumerate(n)], "word binary, n long")
+    for most in (0, 3, 4, 24, 30, 74, 1000):
+        got = sorted(r.n for r in lm.most_counted(c, most).collect())
+        assert len(got) <= most and got == sorted(n)[len(n) - len(got) :]
+        assert len(got) == {0: 0, 3: 3, 4: 4, 24: 24, 30: 24, 74: 74, 1000: 74}[most]
 
 
 def test_wrapped_and_long_licenses():
