@@ -14,7 +14,7 @@ def register(name: str, fn, sql: str | None = None) -> None:
 
 def _load() -> None:
     """Registration happens on import of the plan modules."""
-    from .plans import analyses, graphs, maintenance, questions, relational, retrieval  # noqa: F401
+    from .plans import analyses, graphs, maintenance, questions, ranking, relational, retrieval  # noqa: F401
 
 
 def queries() -> dict:

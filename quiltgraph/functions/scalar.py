@@ -40,6 +40,10 @@ def tier_score(origin: Column) -> Column:
     return case_of(origin, TIER_SCORE, 0.5)
 
 
+#: Smallest and largest provenance weight.
+PROVENANCE_RANGE = (0.5, 1.0)
+
+
 def provenance_weight(origin: Column) -> Column:
     return case_of(origin, PROVENANCE_WEIGHT, 0.5)
 

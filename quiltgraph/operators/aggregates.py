@@ -154,3 +154,28 @@ def recall_mrr(first_hits: DataFrame) -> DataFrame:
     r = F.col("rank")
     at = lambda k: F.round(F.avg(F.when(r <= k, 1.0).otherwise(0.0)), 6)
     return first_hits.groupBy("tier").agg(F.count("*").alias("queries"), at(1).alias("r1"), at(5).alias("r5"), at(20).alias("r20"), F.round(F.avg(F.coalesce(1.0 / r, F.lit(0.0))), 6).alias("mrr"))
+
+
+def _slots(terms: DataFrame, term_col: str, rows: int, width: int) -> DataFrame:
+    """terms with a row for each sketch row: (row, slot) from 28 bits of the term's MD5 (four rows at most)."""
+    h = F.md5(F.col(term_col).cast("binary"))
+    slot = lambda r: F.pmod(F.conv(F.substring(h, 1 + 7 * r, 7), 16, 10).cast("long"), F.lit(width).cast("long"))
+    return terms.select("*", F.inline(F.array(*[F.struct(F.lit(r).alias("row"), slot(r).alias("slot")) for r in range(rows)])))
+
+
+def count_min(terms: DataFrame, term_col: str, rows: int = 4, width: int = 4096) -> DataFrame:
+    """(row, slot, n): a count-min sketch of a column, at most rows * width rows whatever the input."""
+    counted = terms.groupBy(term_col).agg(F.count("*").alias("n"))
+    return _slots(counted, term_col, rows, width).groupBy("row", "slot").agg(F.sum("n").alias("n"))
+
+
+def count_min_merge(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
+    """The sketch of both inputs, or with sign -1 of a without b."""
+    return a.unionByName(b.withColumn("n", F.col("n") * sign)).groupBy("row", "slot").agg(F.sum("n").alias("n"))
+
+
+def count_min_estimate(sketch: DataFrame, terms: DataFrame, term_col: str, rows: int = 4, width: int = 4096) -> DataFrame:
+    """terms with estimate: the smallest count of a term's slots, never below the true one."""
+    s = F.broadcast(sketch.select("row", "slot", F.col("n").alias("_n")))  # rows * width rows at most
+    found = _slots(terms, term_col, rows, width).join(s, ["row", "slot"], "left").groupBy(*terms.columns).agg(F.coalesce(F.min(F.coalesce("_n", F.lit(0))), F.lit(0)).cast("long").alias("estimate"))
+    return found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..plans.tables import cut, cut_measured
+from ..plans.tables import cut, cut_measured, drop
 
 
 def weighted_pairs(edges: DataFrame, kinds: list[str]) -> DataFrame:
@@ -16,9 +16,57 @@ def weighted_pairs(edges: DataFrame, kinds: list[str]) -> DataFrame:
     return edges.where(F.col("kind").isin(kinds)).groupBy(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).agg(F.sum(S.provenance_weight(F.col("origin"))).alias("w"))
 
 
+#: Pairs and nodes up to which one task holds a whole graph; rounds over a larger one are joins.
+LOCAL_ROWS = 4_000_000
+
+
+def _in_one_task(nodes: DataFrame, pairs: DataFrame, seeds: DataFrame | None, kernel, columns: list[str], names_of: bool = False) -> DataFrame | None:
+    """kernel(n, src, dst, w, seeded) over the graph as arrays, if it is within LOCAL_ROWS; else nothing. With names_of the numbers are nodes and come back as ids. The same numbers as the joins, without a job a round."""
+    ids = nodes.select("id").distinct()
+    if pairs.count() > LOCAL_ROWS or ids.count() > LOCAL_ROWS:
+        return None
+    tagged = lambda d, a, b, w, t: d.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(w).alias("w") if w else F.lit(0.0).alias("w"), F.lit(t).alias("t"))
+    rows = tagged(ids, "id", "id", None, 0).unionByName(tagged(pairs, "src", "dst", "w", 1))
+    given = seeds is not None
+    if given:
+        rows = rows.unionByName(tagged(seeds.select("id").distinct(), "id", "id", None, 2))
+
+    def run(frames):
+        f = pd.concat([pd.DataFrame({"a": [], "b": [], "w": [], "t": []}), *frames])
+        names = np.sort(f.loc[f["t"] == 0, "a"].to_numpy(str)) if len(f) else np.empty(0, str)
+        e = f[f["t"] == 1]
+        src, dst = (np.searchsorted(names, e[c].to_numpy(str)) for c in ("a", "b"))
+        ok = np.array([], bool)
+        if len(e):
+            s, d = np.minimum(src, len(names) - 1), np.minimum(dst, len(names) - 1)
+            ok = (names[s] == e["a"].to_numpy(str)) & (names[d] == e["b"].to_numpy(str))
+        seeded = np.isin(names, f.loc[f["t"] == 2, "a"].to_numpy(str)) if given else np.ones(len(names), bool)
+        out = kernel(len(names), src[ok], dst[ok], e["w"].to_numpy(float)[ok], seeded) if len(names) else [np.empty(0, int)] * len(columns)
+        if names_of:
+            out = [names[x] for x in out]
+        yield pd.DataFrame({"id": names, **dict(zip(columns, out))})
+
+    kind = "string" if names_of else "double"
+    return rows.coalesce(1).mapInPandas(run, "id string, " + ", ".join(f"{c} {kind}" for c in columns))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, kinds: list[str] = ("calls", "references"), damping: float = 0.85, rounds: int = 40, seeds: DataFrame | None = None) -> DataFrame:
     """(id, rank). Dangling mass goes to all nodes, or to the seeds of a personalised rank."""
-    pairs = weighted_pairs(edges, list(kinds))
+    pairs = cut(weighted_pairs(edges, list(kinds)))
+
+    def kernel(n, src, dst, w, seeded):
+        restart = seeded / max(1, seeded.sum())
+        total = np.bincount(src, weights=w, minlength=n)
+        p, rank = w / total[src] if len(w) else w, restart.copy()
+        for _ in range(rounds):
+            rank = (1 - damping) * restart + damping * (np.bincount(dst, weights=rank[src] * p, minlength=n) + rank[total == 0].sum() * restart)
+        return [rank]
+
+    small = _in_one_task(nodes, pairs, seeds, kernel, ["rank"])
+    if small is not None:
+        return small
+    known = nodes.select("id").distinct()
+    pairs = cut(pairs.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     out = pairs.groupBy("src").agg(F.sum("w").alias("total"))
     step = cut(pairs.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
     ids = nodes.select("id").distinct()
@@ -35,13 +83,29 @@ def pagerank(nodes: DataFrame, edges: DataFrame, kinds: list[str] = ("calls", "r
         dangling = seen["dangling"] or 0.0
         got = rank.join(step, rank.id == step.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         step_ = base.join(got, "id", "left").withColumn("rank", (1 - damping) * F.col("restart") + damping * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("restart"))).drop("got")
+        old = rank
         rank, seen = cut_measured(step_, dangling=loose)
+        drop(old)
+    drop(step, base)
     return rank.select("id", "rank")
 
 
 def hits(nodes: DataFrame, edges: DataFrame, kinds: list[str] = ("calls", "references"), rounds: int = 40) -> DataFrame:
     """(id, hub, authority); a round's hubs use its new authorities before both are normalised."""
     pairs = cut(weighted_pairs(edges, list(kinds)))
+
+    def kernel(n, src, dst, w, seeded):
+        hub = authority = np.ones(n)
+        unit = lambda v: v / (np.sqrt((v * v).sum()) or 1.0)
+        for _ in range(rounds):
+            authority = np.bincount(dst, weights=hub[src] * w, minlength=n)
+            hub = unit(np.bincount(src, weights=authority[dst] * w, minlength=n))
+            authority = unit(authority)
+        return [hub, authority]
+
+    small = _in_one_task(nodes, pairs, None, kernel, ["hub", "authority"])
+    if small is not None:
+        return small
     s = cut(nodes.select("id").distinct().withColumns({"hub": F.lit(1.0), "authority": F.lit(1.0)}))
     for _ in range(rounds):
         a = s.join(pairs, s.id == pairs.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("hub") * F.col("w")).alias("a"))
@@ -49,6 +113,7 @@ def hits(nodes: DataFrame, edges: DataFrame, kinds: list[str] = ("calls", "refer
         h = auth.join(pairs, auth.id == pairs.dst).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("a") * F.col("w")).alias("h"))
         both, seen = cut_measured(auth.join(h, "id", "left").fillna(0.0, ["h"]), a=F.sum(F.col("a") * F.col("a")), h=F.sum(F.col("h") * F.col("h")))
         na, nh = (seen["a"] or 0.0) ** 0.5, (seen["h"] or 0.0) ** 0.5
+        drop(s, auth)
         s = both.select("id", (F.col("h") / F.lit(nh or 1.0)).alias("hub"), (F.col("a") / F.lit(na or 1.0)).alias("authority"))
     return s
 
@@ -62,14 +127,59 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         low = label.join(seen, "id", "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("low"))
         hop = label.select(F.col("id").alias("low"), F.col("component").alias("hop"))
         new, seen = cut_measured(low.join(hop, "low", "left").select("id", F.col("component").alias("old"), F.least("low", F.coalesce("hop", "low")).alias("component")), moved=F.count_if(F.col("old") != F.col("component")))
+        drop(label)
         label = new.select("id", "component")
         if not seen["moved"]:
+            drop(both)
             return label
 
 
+def tarjan(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's strong component; one walk without recursion."""
+    o = np.argsort(src, kind="stable")
+    first, to = np.searchsorted(src[o], np.arange(n + 1)).tolist(), dst[o].tolist()
+    index, low, on, out = [-1] * n, [0] * n, [False] * n, np.arange(n)
+    stack, clock = [], 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        walk = [(root, first[root])]
+        index[root] = low[root] = clock
+        clock += 1
+        stack.append(root)
+        on[root] = True
+        while walk:
+            v, at = walk.pop()
+            if at < first[v + 1]:
+                walk.append((v, at + 1))
+                u = to[at]
+                if index[u] < 0:
+                    index[u] = low[u] = clock
+                    clock += 1
+                    stack.append(u)
+                    on[u] = True
+                    walk.append((u, first[u]))
+                elif on[u]:
+                    low[v] = min(low[v], index[u])
+                continue
+            if walk:
+                low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+            if low[v] == index[v]:
+                members = [stack.pop()]
+                while members[-1] != v:
+                    members.append(stack.pop())
+                out[members] = min(members)
+                for m in members:
+                    on[m] = False
+    return out
+
+
 def strong_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component) by colouring: the largest id that reaches a node is its colour; what reaches back inside the colour is its component."""
     rest = cut(pairs.select("src", "dst").where("src <> dst").distinct())
+    small = _in_one_task(nodes, rest.withColumn("w", F.lit(1.0)), None, lambda n, src, dst, w, seeded: [tarjan(n, src, dst)], ["component"], True)
+    if small is not None:
+        return small
     ids = cut(nodes.select("id").distinct())
     done = None
     while True:
@@ -109,6 +219,22 @@ def strong_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         rest = cut(rest.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
 
 
+def cycles(nodes: DataFrame, pairs: DataFrame, community: DataFrame) -> DataFrame:
+    """(component, size, class, severity) of strong components of two nodes or more; pairs(src, dst, kind), community(id, community).
+
+    A cycle with an import inside is an import cycle (3); else one over several communities is a cross-community cycle (2); else a call cycle (1).
+    """
+    c = cut(strong_components(nodes, pairs))
+    size = c.groupBy("component").agg(F.count("*").alias("size")).where("size >= 2")
+    inside = pairs.join(c.select(F.col("id").alias("src"), "component"), "src").join(c.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").where("component = other AND src <> dst")
+    imports = inside.groupBy("component").agg(F.bool_or(F.col("kind") == "imports").alias("imports"))
+    units = c.join(community, "id", "left").groupBy("component").agg((F.min("community") != F.max("community")).alias("crossing"))
+    j = size.join(imports, "component", "left").join(units, "component", "left")
+    severity = F.when(F.col("imports"), 3).when(F.col("crossing"), 2).otherwise(1)
+    named = j.withColumn("severity", severity)
+    return named.select("component", "size", F.element_at(F.array(F.lit("call"), F.lit("cross_community"), F.lit("import")), F.col("severity")).alias("class"), "severity")
+
+
 def k_core(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, core) of the undirected simple graph: the h-index of neighbours' values, from degrees to its fixed point."""
     und = cut(pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct().select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))))
@@ -119,8 +245,10 @@ def k_core(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         listed = seen.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("c", "n")), False).alias("l"))
         h = F.aggregate("l", F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("h")), lambda s, x: F.struct((s["t"] + x["n"]).alias("t"), F.greatest(s["h"], F.least(s["t"] + x["n"], x["c"])).alias("h")))["h"]
         new, seen_ = cut_measured(core.join(listed.select(F.col("src").alias("id"), h.alias("h")), "id").select("id", F.col("core").alias("old"), F.least("core", "h").alias("core")), moved=F.count_if(F.col("old") != F.col("core")))
+        drop(core)
         core = new.select("id", "core")
         if not seen_["moved"]:
+            drop(und)
             return nodes.select("id").distinct().join(core, "id", "left").fillna(0, ["core"])
 
 

@@ -169,10 +169,10 @@ def combo(log: DataFrame, min_hits: int, per_hit: float) -> DataFrame:
     return g.withColumn("boost", F.least(F.lit(3.0), 1 + (F.col("hits") - min_hits + 1) * per_hit))
 
 
-def co_tokens(names: DataFrame, least: int, siblings: int, vocab: int) -> DataFrame:
-    """(a, b, n): tokens that occur together in names(id, name), over the most frequent tokens; a name has few tokens, so pairs stay few."""
+def co_tokens(names: DataFrame, least: int, siblings: int) -> DataFrame:
+    """(a, b, n): tokens that occur together in names(id, name); a name has few tokens, so pairs stay few. A token below ``least`` can be in no pair that often, so it goes first."""
     t = names.select("id", F.array_distinct(S.index_tokens(F.col("name"))).alias("ts"))
-    top = t.select(F.explode("ts").alias("a")).groupBy("a").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "a").limit(vocab)
+    top = t.select(F.explode("ts").alias("a")).groupBy("a").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     rows = t.select(F.explode("ts").alias("a"), "ts").join(top.select("a"), "a", "left_semi").select("a", F.explode("ts").alias("b")).where("a <> b").join(top.select(F.col("a").alias("b")), "b", "left_semi")
     g = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return g.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("_n") <= siblings).drop("_n")

@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from . import aggregates as A
 from . import graph as G
 from . import joins as J
+from .traversal import bfs
 
 
 def outline(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
@@ -87,3 +88,63 @@ def memories(notes: DataFrame, words: list[str], now, half_life_days: float = 30
     hit = sum((F.contains(F.lower("text"), F.lit(w.lower())).cast("int") for w in words), F.lit(0))
     age = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp("ts")) / 86400.0
     return notes.select("id", hit.alias("hits"), age.alias("age")).where("hits > 0").select("id", F.round(F.col("hits") * S.recency(F.col("age"), half_life_days), 6).alias("score"))
+
+
+def conflicts(touched: DataFrame, least: int) -> DataFrame:
+    """(a, b, shared): open changes that touch at least so many symbols in common; touched(pr, symbol). Pairs form from each symbol's list of changes."""
+    t = touched.select("pr", "symbol").distinct()
+    # a change with fewer symbols than asked for can be in no pair
+    t = t.join(t.groupBy("pr").agg(F.count("*").alias("n")).where(F.col("n") >= least), "pr", "left_semi")
+    b = t.select(F.col("pr").alias("b"), "symbol")
+    return t.withColumnRenamed("pr", "a").join(b, "symbol").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def context_closure(edges: DataFrame, seeds: DataFrame, cost: DataFrame, budget: int, kinds: list[str], depth: int = 3) -> DataFrame:
+    """(id, depth, total): what seeds reach, nearest first, while the running sum of cost(id, tokens) is within the budget."""
+    reached = bfs(edges, seeds, "out", kinds, depth).join(cost, "id")
+    w = Window.orderBy("depth", "id")  # the answer to one question: bounded by its budget once packed
+    return reached.withColumn("total", F.sum("tokens").over(w).cast("long")).where(F.col("total") <= budget).select("id", "depth", "total")
+
+
+def response_stats(texts: DataFrame) -> DataFrame:
+    """(id, lines, bytes, tokens) of texts(id, text)."""
+    return texts.select("id", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.octet_length("text").cast("long").alias("bytes"), F.ceil(F.length("text") / 4.0).cast("long").alias("tokens"))
+
+
+def source_lines(files: DataFrame, spans: DataFrame, around: int = 0) -> DataFrame:
+    """(path, start, end, source): lines start to end, from 1, of each span(path, start, end) with so many lines around."""
+    lines = F.split("text", "\n")
+    first = F.greatest(F.lit(1), F.col("start") - around)
+    return spans.join(files, "path").select("path", "start", "end", F.array_join(F.slice(lines, first, F.col("end") + around - first + 1), "\n").alias("source"))
+
+
+def citations(claims: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, found, line): whether a cited span(path, span) is in its file, and on which line it starts."""
+    j = claims.where("span <> ''").join(files, "path", "left")
+    at = F.call_function("instr", F.coalesce("text", F.lit("")), F.col("span"))
+    return j.select("path", (at > 0).alias("found"), F.size(F.split(F.call_function("substring", F.coalesce("text", F.lit("")), F.lit(1), F.greatest(at, F.lit(1))), "\n")).cast("long").alias("line"))
+
+
+def api_impact(edges: DataFrame) -> DataFrame:
+    """(route, handlers, consumers, risk) of routes with a handler."""
+    of = lambda k: F.countDistinct(F.when(F.col("kind") == k, F.col("from_id")))
+    g = edges.where("kind IN ('handles_route', 'consumes')").groupBy(F.col("to_id").alias("route")).agg(of("handles_route").alias("handlers"), of("consumes").alias("consumers")).where("handlers > 0")
+    c = F.col("consumers")
+    return g.withColumn("risk", F.when(c >= 10, "CRITICAL").when(c >= 5, "HIGH").when(c >= 2, "MEDIUM").otherwise("LOW"))
+
+
+def architecture(nodes: DataFrame, edges: DataFrame, top: int) -> DataFrame:
+    """(part, name, n): the largest units, the most used symbols and the busiest entry points."""
+    calls = edges.where("kind = 'calls'")
+    unit = nodes.groupBy(F.col("file_path").alias("name")).agg(F.count("*").alias("n")).select(F.lit("unit").alias("part"), "name", "n")
+    hub = edges.where("kind IN ('calls', 'references')").groupBy(F.col("to_id").alias("name")).agg(F.count("*").alias("n")).select(F.lit("hub").alias("part"), "name", "n")
+    entry = calls.join(calls.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_anti").groupBy(F.col("from_id").alias("name")).agg(F.count("*").alias("n")).select(F.lit("entry").alias("part"), "name", "n")
+    best = lambda d: d.orderBy(F.desc("n"), "name").limit(top)
+    return best(unit).unionByName(best(hub)).unionByName(best(entry))
+
+
+def models(edges: DataFrame) -> DataFrame:
+    """(model, materialised, upstream, exposed) of transformation models."""
+    of = lambda k: F.countDistinct(F.when(F.col("kind") == k, F.col("to_id")))
+    g = edges.where("kind IN ('depends_on', 'exposes')").groupBy(F.col("from_id").alias("model"))
+    return g.agg(F.when(F.bool_or(F.col("flag") == "true"), "table").otherwise("view").alias("materialised"), of("depends_on").alias("upstream"), of("exposes").alias("exposed"))

@@ -12,8 +12,13 @@ comparison start from the same rows.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import shared_folder
+
 NODES_SQL = """
 SELECT 'pkg::' || CAST(r_regionkey AS VARCHAR(20)) AS id, 'package' AS kind, r_name AS name, '' AS qual_name, lower(r_name) AS file_path, 0 AS start_line, 0 AS end_line, '' AS language, r_name AS repo_prefix, 'tpch' AS workspace_id, '' AS project_id FROM region
 UNION ALL SELECT 'file::' || CAST(n_nationkey AS VARCHAR(20)), 'file', n_name, '', lower(r_name) || '/' || lower(n_name) || '.go', 1, 10000, 'go', r_name, 'tpch', '' FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -61,26 +66,47 @@ WITH_TYPED = f"WITH nodes AS MATERIALIZED ({NODES_SQL}), typed AS MATERIALIZED (
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
+_FROM = re.compile(r"\b(FROM|JOIN) (" + "|".join(_TABLES) + r")\b")
+#: Graph tables that this session has written, by application, folder and input files.
+_WRITTEN: dict = {}
+
+
 class Graph:
-    """nodes, edges and typed edges of one data folder."""
+    """nodes, edges and typed edges of one data folder.
+
+    The graph tables are written once a session, as Parquet in the shared folder with edges partitioned by kind, so a
+    query reads the kinds and columns that it needs instead of building the graph from the raw tables each time.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES}
 
     def _sql(self, text: str) -> DataFrame:
-        for t, df in self.tables.items():
-            df.createOrReplaceTempView(t)
-        return self.spark.sql(text)
+        """SQL over the raw tables, passed as arguments: no view of the caller's is touched."""
+        used = {m.group(2) for m in _FROM.finditer(text)}
+        return self.spark.sql(_FROM.sub(r"\1 {\2}", text), **{t: self.tables[t] for t in used})
+
+    def _stored(self, name: str, text: str, *by: str) -> DataFrame:
+        files = sorted(f for t in self.tables.values() for f in t.inputFiles())
+        folder = shared_folder(self.spark)
+        tag = hashlib.md5("\n".join([name, text, *files]).encode()).hexdigest()
+        path = f"{folder}/graph-{self.spark.sparkContext.applicationId}-{name}-{tag}"
+        if path not in _WRITTEN:
+            df = self._sql(text)
+            df.write.mode("overwrite").partitionBy(*by).parquet(path)
+            _WRITTEN[path] = df.schema
+        schema = _WRITTEN[path]
+        return self.spark.read.schema(schema).parquet(path).select(*schema.names)
 
     @property
     def nodes(self) -> DataFrame:
-        return self._sql(NODES_SQL)
+        return self._stored("nodes", NODES_SQL)
 
     @property
     def edges(self) -> DataFrame:
-        return self._sql(EDGES_SQL)
+        return self._stored("edges", EDGES_SQL, "kind")
 
     @property
     def typed(self) -> DataFrame:
-        return self._sql(TYPED_SPARK)
+        return self._stored("typed", TYPED_SPARK, "kind")

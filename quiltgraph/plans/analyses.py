@@ -44,12 +44,6 @@ def _role(g: Graph) -> DataFrame:
 
 graph("analyze_role", _role, f"SELECT id, CASE WHEN fan_in = 0 AND fan_out = 0 THEN 'dead' WHEN fan_in = 0 THEN 'entry' WHEN coalesce(o, 0) > 0 AND coalesce(i, 0) > 0 AND fan_in <= 3 THEN 'adapter' WHEN fan_out = 0 THEN CASE WHEN fan_in >= 10 THEN 'utility' ELSE 'leaf' END ELSE 'core' END AS role FROM ({_FANS}) f LEFT JOIN (SELECT from_id, count(*) AS o FROM edges e JOIN nodes a ON from_id = a.id JOIN nodes b ON to_id = b.id WHERE e.kind IN ('calls', 'references') AND a.file_path <> b.file_path GROUP BY 1) x ON f.id = x.from_id LEFT JOIN (SELECT to_id, count(*) AS i FROM edges e JOIN nodes a ON from_id = a.id JOIN nodes b ON to_id = b.id WHERE e.kind IN ('calls', 'references') AND a.file_path <> b.file_path GROUP BY 1) y ON f.id = y.to_id")
 graph("analyze_missing_fields", lambda g: L.missing_fields(g.typed.where("kind = 'reads'").select(F.col("from_id").alias("type_id"), F.col("label").alias("field")), g.typed.where("kind = 'writes'").select(F.col("from_id").alias("type_id"), F.col("label").alias("field"))).select("type_id", F.array_join("missing", ",").alias("missing")), "SELECT type_id, string_agg(field, ',' ORDER BY field) AS missing FROM (SELECT DISTINCT from_id AS type_id, label AS field FROM typed WHERE kind = 'reads') d WHERE type_id IN (SELECT from_id FROM typed WHERE kind = 'writes') AND (type_id, field) NOT IN (SELECT from_id, label FROM typed WHERE kind = 'writes') GROUP BY 1", typed=True)
-RULES = {
-    "license-line": ("hygiene", "(?i)licen[sc]e"), "long-number": ("sast", "[0-9]{6,}"), "email": ("sast", "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"),
-    "pipe-table": ("review", r" \| .* \| "), "repeat-symbols": ("domain", r"[#*$%&]{3}"), "trailing-space": ("hygiene", " $"),
-}
-_RULES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS rule, '{c}' AS category, doc_id FROM l WHERE regexp_matches(line, '{p}')" for n, (c, p) in RULES.items())
-table("analyze_sast_hygiene_review_domain", lambda spark, t: L.rule_hits(t("documents").select(F.col("doc_id").alias("id"), "text"), RULES), f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT rule, category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_RULES_SQL}) GROUP BY 1, 2")
 table("analyze_retrieval_log", lambda spark, t: L.retrieval_log(t("events").select(F.col("event_type").alias("tool"), F.col("value").alias("ms"), F.floor("value").alias("results"))), "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (floor(value) = 0) AS empty, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 table("analyze_fixes_history", lambda spark, t: L.fixes_history(t("orders").select(F.col("o_custkey").alias("file"), F.col("o_orderpriority").alias("subject")), "(?i)urgent|high"), "SELECT o_custkey AS file, count(*) AS fixes, min(o_orderpriority) AS first FROM orders WHERE regexp_matches(o_orderpriority, '(?i)urgent|high') GROUP BY 1")
 
@@ -57,11 +51,11 @@ table("analyze_fixes_history", lambda spark, t: L.fixes_history(t("orders").sele
 def _health(g: Graph) -> DataFrame:
     cov = J.coverage(g._sql(_SEGMENTS), g.nodes).select("id", F.col("coverage_pct").alias("cov"))
     fan = A.fans(g.nodes, g.edges, ["calls", "references"], ["calls"]).select("id", (100.0 / (1 + F.col("fan_out"))).alias("simple"))
-    h = g.nodes.where("kind = 'function' AND repo_prefix <> 'LIB'").select("id", "repo_prefix", "file_path").join(cov, "id", "left").join(fan, "id", "left")
+    h = g.nodes.where("kind IN ('function', 'method')").select("id", "repo_prefix", "file_path").join(cov, "id", "left").join(fan, "id", "left")
     s = h.withColumn("score", F.round(A.weighted_mean([(F.col("cov"), 2.0), (F.col("simple"), 1.0)]), 4))
-    return s.rollup("repo_prefix", "file_path").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"))
+    return s.rollup("repo_prefix", "file_path").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("score") * 10000).cast("long")) / F.count("*") / 10000, 6).alias("mean"))
 
 
-graph("analyze_health_score", _health, f"SELECT repo_prefix, file_path, count(*) AS n, round(avg(score), 4) AS mean FROM (SELECT repo_prefix, file_path, round((coalesce(coverage_pct, 0.0) * 2.0::DOUBLE + 100.0::DOUBLE / (1 + fan_out)) / (CASE WHEN coverage_pct IS NULL THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END + 1.0::DOUBLE), 4) AS score FROM nodes n LEFT JOIN ({_COVERED}) c ON n.id = c.id LEFT JOIN ({_FANS}) f ON n.id = f.id WHERE kind = 'function' AND repo_prefix <> 'LIB') GROUP BY ROLLUP (repo_prefix, file_path)")
+graph("analyze_health_score", _health, f"SELECT repo_prefix, file_path, count(*) AS n, round(sum(round(score * 10000)::BIGINT)::DOUBLE / count(*) / 10000, 6) AS mean FROM (SELECT repo_prefix, file_path, round((coalesce(coverage_pct, 0.0) * 2.0::DOUBLE + 100.0::DOUBLE / (1 + fan_out)) / (CASE WHEN coverage_pct IS NULL THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END + 1.0::DOUBLE), 4) AS score FROM nodes n LEFT JOIN ({_COVERED}) c ON n.id = c.id LEFT JOIN ({_FANS}) f ON n.id = f.id WHERE kind IN ('function', 'method')) GROUP BY ROLLUP (repo_prefix, file_path)")
 graph("analyze_bottlenecks", lambda g: L.bottlenecks(g.edges, g.nodes.where("kind IN ('function', 'method')").select("id", F.lit(1).alias("loops")), 2), ", c AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM edges WHERE kind = 'calls'), f AS (SELECT id FROM nodes WHERE kind IN ('function', 'method')), d1 AS (SELECT id, 1 + CASE WHEN id IN (SELECT from_id FROM c JOIN f ON to_id = id) THEN 1 ELSE 0 END AS depth FROM f), d2 AS (SELECT f.id, 1 + coalesce(max(d1.depth), 0) AS depth FROM f LEFT JOIN c ON f.id = from_id LEFT JOIN d1 ON to_id = d1.id GROUP BY f.id) SELECT id, depth, (SELECT count(*) FROM c x JOIN c y ON x.from_id = y.to_id AND x.to_id = y.from_id WHERE x.from_id = d2.id AND x.from_id <> x.to_id) AS mutual FROM d2")
 graph("analyze_external_calls", lambda g: g.typed.where("kind = 'depends_on'").join(g.nodes.select(F.col("id").alias("to_id"), F.split_part("file_path", F.lit("/"), F.lit(2)).alias("module")), "to_id").groupBy("module").agg(F.count("*").alias("n"), F.countDistinct("from_id").alias("callers")), "SELECT split_part(n.file_path, '/', 2) AS module, count(*) AS n, count(DISTINCT from_id) AS callers FROM typed t JOIN nodes n ON to_id = n.id WHERE t.kind = 'depends_on' GROUP BY 1", typed=True)

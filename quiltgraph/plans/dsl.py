@@ -48,7 +48,7 @@ def parse(query: str) -> list[Stage]:
     return stages
 
 
-def run(query: str, nodes: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
+def run(query: str, nodes: DataFrame, edges: DataFrame, limit: int | None = 1000) -> DataFrame:
     """Nodes that are left after the last stage."""
     now = nodes
     for s in parse(query):
@@ -58,7 +58,8 @@ def run(query: str, nodes: DataFrame, edges: DataFrame, limit: int = 1000) -> Da
             kinds = s.options["kind"].split(",") if "kind" in s.options else None
             got = traversal.bfs(edges, now.select("id"), s.args[0] if s.args else "out", kinds, int(s.options.get("depth", 1)))
             now = nodes.join(got.select("id"), "id", "left_semi")
-        now = now.orderBy("id").limit(limit)
+        if limit is not None:
+            now = now.orderBy("id").limit(limit)
     return now
 
 

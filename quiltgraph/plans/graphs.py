@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregates as A
+from ..operators import community as C
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import traversal as T
 from . import dsl
 from .adapter import WITH, WITH_TYPED, Graph
-from .relational import _CROSS, _FANS, graph
+from .relational import _CROSS, _FANS, _USAGE, graph
 
 _IN = lambda kinds: ", ".join(f"'{k}'" for k in kinds)
 
@@ -56,12 +57,28 @@ walk("e14_budgeted_walk", lambda g: T.budgeted_walk(g.edges, "fn::c10", 400, ["c
 walk("e16_import_closure", lambda g: T.bfs(g.edges, g.nodes.where("name = 'NATION_1' OR name = 'NATION_4'").select("id"), "out", ["imports"], 6, 400), "SELECT id FROM nodes WHERE name IN ('NATION_1', 'NATION_4')", ["imports"], "out", 6, " ORDER BY depth, id LIMIT 400")
 graph("e17_reachable", lambda g: T.bfs(g.edges, _ids(g, "fn::c10"), "out", ["calls"], None).select("id"), ", RECURSIVE_MARK SELECT id FROM r")
 walk("e18_frontier", lambda g: T.bfs(g.edges, g.nodes.where("kind = 'interface'").select("id"), "in", ["implements"], 1), "SELECT id FROM nodes WHERE kind = 'interface'", ["implements"], "in", 1)
-_REACH = ", p AS MATERIALIZED (SELECT DISTINCT to_id AS src, from_id AS dst FROM edges WHERE kind NOT IN ('defines', 'member_of') AND from_id <> to_id), r1 AS MATERIALIZED (SELECT n.id AS seed, 1 AS depth, dst AS id FROM nodes n JOIN p ON n.id = src WHERE n.kind = 'interface'), r2 AS MATERIALIZED (SELECT DISTINCT seed, 2 AS depth, dst AS id FROM r1 JOIN p ON r1.id = src WHERE dst <> seed AND NOT EXISTS (SELECT 1 FROM r1 x WHERE x.seed = r1.seed AND x.id = dst)), reach AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)"
-graph("e19_e20_reach_index", lambda g: T.reach_index(g.edges, g.nodes.where("kind = 'interface'").select("id"), None, 2), _REACH + " SELECT * FROM reach")
+def _reach_sql(depth: int) -> str:
+    out = ", p AS MATERIALIZED (SELECT DISTINCT to_id AS src, from_id AS dst FROM edges WHERE kind NOT IN ('defines', 'member_of') AND from_id <> to_id), r1 AS MATERIALIZED (SELECT n.id AS seed, 1 AS depth, dst AS id FROM nodes n JOIN p ON n.id = src WHERE n.kind = 'interface')"
+    for d in range(2, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT seed, id FROM r{i}" for i in range(1, d))
+        out += f", r{d} AS MATERIALIZED (SELECT seed, {d} AS depth, id FROM (SELECT DISTINCT seed, dst AS id FROM r{d - 1} JOIN p ON id = src WHERE dst <> seed) n WHERE (seed, id) NOT IN ({seen}))"
+    return out + ", reach AS (" + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, depth + 1)) + ")"
+
+
+_REACH = _reach_sql(3)
+graph("e19_e20_reach_index", lambda g: T.reach_index(g.edges, g.nodes.where("kind = 'interface'").select("id"), None), _REACH + " SELECT * FROM reach")
 graph("e22_shortest_path", lambda g: T.shortest_path(g.edges.where("kind = 'calls'"), "fn::c10", "fn::p3", 24, 1000000).agg(F.min("hops").alias("hops"), F.count("*").alias("paths"), F.min(F.array_join("path", ">")).alias("first")), None)
-_PATHS = ", q AS MATERIALIZED (SELECT from_id, to_id, max(CASE origin WHEN 'lsp_resolved' THEN 1.0::DOUBLE WHEN 'ast_resolved' THEN 0.9::DOUBLE WHEN 'ast_inferred' THEN 0.7::DOUBLE WHEN 'text_matched' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END) AS score FROM edges WHERE kind = 'calls' AND from_id <> to_id GROUP BY 1, 2), p1 AS (SELECT ['fn::c10', to_id] AS path, score AS c FROM q WHERE from_id = 'fn::c10'), p2 AS (SELECT list_append(path, to_id) AS path, c * score AS c FROM p1 JOIN q ON path[-1] = from_id WHERE NOT list_contains(path, to_id)) SELECT source, sink, path, hops, confidence FROM (SELECT path[1] AS source, path[-1] AS sink, array_to_string(path, '>') AS path, len(path) - 1 AS hops, round(c, 6) AS confidence, row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY len(path), round(c, 6) DESC, array_to_string(path, chr(1))) AS k FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) WHERE path[-1] IN (SELECT id FROM nodes WHERE kind = 'method')) WHERE k <= 10"
-graph("e24_e28_flow_paths", lambda g: T.paths(g.edges, _ids(g, "fn::c10"), g.nodes.where("kind = 'method'").select("id"), 2, 10, ["calls"]).withColumn("path", F.array_join("path", ">")), _PATHS)
-graph("e25_e27_taint", lambda g: T.paths(g.typed.select("from_id", "to_id", "kind", "origin"), g.nodes.where("kind = 'interface'").select("id"), g.nodes.where("contains(name, 'widget')").select("id"), 1, 10, T.FLOW_KINDS).select("source", "sink", "confidence"), "SELECT from_id AS source, to_id AS sink, max(CASE origin WHEN 'lsp_resolved' THEN 1.0::DOUBLE WHEN 'ast_inferred' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END) AS confidence FROM typed WHERE kind IN ('value_flow', 'arg_of', 'returns_to') AND from_id IN (SELECT id FROM nodes WHERE kind = 'interface') AND to_id IN (SELECT id FROM nodes WHERE contains(name, 'widget')) GROUP BY 1, 2", typed=True)
+def _paths_sql(depth: int, per_pair: int) -> str:
+    out = ", q AS MATERIALIZED (SELECT from_id, to_id, max(CASE origin WHEN 'lsp_resolved' THEN 1.0::DOUBLE WHEN 'ast_resolved' THEN 0.9::DOUBLE WHEN 'ast_inferred' THEN 0.7::DOUBLE WHEN 'text_matched' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END) AS score FROM edges WHERE kind = 'calls' AND from_id <> to_id GROUP BY 1, 2), p0 AS (SELECT ['fn::c10'] AS path, 1.0::DOUBLE AS c)"
+    for d in range(1, depth + 1):
+        out += f", p{d} AS MATERIALIZED (SELECT path, c FROM (SELECT list_append(path, to_id) AS path, c * score AS c FROM p{d - 1} JOIN q ON path[-1] = from_id WHERE NOT list_contains(path, to_id)) QUALIFY row_number() OVER (PARTITION BY path[-1] ORDER BY round(c, 6) DESC, array_to_string(path, chr(1))) <= {per_pair})"
+    every = " UNION ALL ".join(f"SELECT * FROM p{d}" for d in range(1, depth + 1))
+    return out + f" SELECT source, sink, path, hops, confidence FROM (SELECT path[1] AS source, path[-1] AS sink, array_to_string(path, '>') AS path, len(path) - 1 AS hops, round(c, 6) AS confidence, row_number() OVER (PARTITION BY path[-1] ORDER BY len(path), round(c, 6) DESC, array_to_string(path, chr(1))) AS k FROM ({every}) WHERE path[-1] IN (SELECT id FROM nodes WHERE kind = 'method')) WHERE k <= {per_pair}"
+
+
+_PATHS = _paths_sql(8, 10)
+graph("e24_e28_flow_paths", lambda g: T.paths(g.edges, _ids(g, "fn::c10"), g.nodes.where("kind = 'method'").select("id"), 8, 10, ["calls"]).withColumn("path", F.array_join("path", ">")), _PATHS)
+graph("e25_e27_taint", lambda g: T.paths(g.typed.select("from_id", "to_id", "kind", "origin"), g.nodes.where("kind = 'interface'").select("id"), g.nodes.where("contains(name, 'widget')").select("id"), 8, 10, T.FLOW_KINDS).select("source", "sink", "confidence"), "SELECT from_id AS source, to_id AS sink, max(CASE origin WHEN 'lsp_resolved' THEN 1.0::DOUBLE WHEN 'ast_inferred' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END) AS confidence FROM typed WHERE kind IN ('value_flow', 'arg_of', 'returns_to') AND from_id IN (SELECT id FROM nodes WHERE kind = 'interface') AND to_id IN (SELECT id FROM nodes WHERE contains(name, 'widget')) GROUP BY 1, 2", typed=True)
 graph("e29_would_close_cycle", lambda g: g.spark.range(1).select(F.lit(T.would_close_cycle(g.edges, "fn::p3", "fn::c10")).alias("cycle")), ", RECURSIVE_MARK SELECT count(*) > 0 AS cycle FROM r WHERE id = 'fn::p3'")
 graph("e32_e33_pipeline", lambda g: dsl.run("nodes kind=interface | traverse in kind=implements depth=1 | filter kind=type path=asia", g.nodes, g.edges, 10000).select("id"), "SELECT id FROM nodes WHERE kind = 'type' AND starts_with(file_path, 'asia') AND id IN (SELECT from_id FROM edges WHERE kind = 'implements')")
 graph("e34_boundaries", lambda g: T.boundary(g.edges), "SELECT kind, 'resolved' AS boundary, count(*) AS n FROM edges GROUP BY kind")
@@ -89,8 +106,8 @@ def pagerank_sql(rounds: int, restart: str) -> str:
     return out + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
 
 
-graph("f1_pagerank", lambda g: G.pagerank(g.nodes, g.edges, rounds=6).select("id", F.round("rank", 9).alias("rank")), pagerank_sql(6, "1.0::DOUBLE / (SELECT count(*) FROM nodes)"))
-graph("f2_personalised_pagerank", lambda g: G.pagerank(g.nodes, g.edges, rounds=4, seeds=g.nodes.where("kind = 'interface'")).select("id", F.round("rank", 9).alias("rank")), pagerank_sql(4, "CASE WHEN kind = 'interface' THEN 1.0::DOUBLE / (SELECT count(*) FROM nodes WHERE kind = 'interface') ELSE 0.0::DOUBLE END"))
+graph("f1_pagerank", lambda g: G.pagerank(g.nodes, g.edges, rounds=40).select("id", F.round("rank", 9).alias("rank")), pagerank_sql(40, "1.0::DOUBLE / (SELECT count(*) FROM nodes)"))
+graph("f2_personalised_pagerank", lambda g: G.pagerank(g.nodes, g.edges, rounds=40, seeds=g.nodes.where("kind = 'interface'")).select("id", F.round("rank", 9).alias("rank")), pagerank_sql(40, "CASE WHEN kind = 'interface' THEN 1.0::DOUBLE / (SELECT count(*) FROM nodes WHERE kind = 'interface') ELSE 0.0::DOUBLE END"))
 graph("f3_adjacency", lambda g: G.weighted_pairs(g.edges, ["calls", "references"]).select("src", "dst", F.round("w", 6).alias("w")), _PAIRS + " SELECT src, dst, round(w, 6) AS w FROM w")
 
 
@@ -101,12 +118,7 @@ def hits_sql(rounds: int) -> str:
     return out + f" SELECT id, round(hub, 9) AS hub, round(authority, 9) AS authority FROM h{rounds}"
 
 
-graph("f4_hits", lambda g: G.hits(g.nodes, g.edges, rounds=4).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority")), hits_sql(4))
-
-
-def _sparse(g: Graph) -> DataFrame:
-    """Call pairs of full confidence only."""
-    return g.edges.where("kind = 'calls' AND confidence > 0.995").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "origin")
+graph("f4_hits", lambda g: G.hits(g.nodes, g.edges, rounds=40).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority")), hits_sql(40))
 
 
 def _calls(g: Graph) -> DataFrame:
@@ -123,29 +135,48 @@ def _between(g: Graph) -> DataFrame:
 
 
 graph("f5_f6_betweenness", _between, None)
-graph("f7_weak_components", lambda g: G.components(g.nodes.where("kind IN ('function', 'method')"), _sparse(g)).groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), ", s AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM edges WHERE kind = 'calls' AND confidence > 0.995), WCC_MARK SELECT component, count(*) AS size FROM wcc WHERE id IN (SELECT id FROM nodes WHERE kind IN ('function', 'method')) GROUP BY component HAVING count(*) > 1")
-_TRADE = "SELECT DISTINCT 'n' || CAST(c_nationkey AS VARCHAR(20)) AS src, 'n' || CAST(s_nationkey AS VARCHAR(20)) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0.1 AND l_returnflag = 'R'"
-_NATION = "SELECT 'n' || CAST(n_nationkey AS VARCHAR(20)) AS id FROM nation"
-graph("f8_strong_components", lambda g: G.strong_components(g._sql(_NATION), g._sql(_TRADE)), f", t AS MATERIALIZED ({_TRADE}), SCC_MARK SELECT id, coalesce((SELECT min(x.b) FROM scc x JOIN scc y ON x.a = y.b AND x.b = y.a WHERE x.a = n.id), id) AS component FROM ({_NATION}) n")
+def _wcc_sql(rounds: int) -> str:
+    """Smallest label around, so many times: enough where no node is further than that from the smallest of its component."""
+    out = ", s AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM edges WHERE kind IN ('calls', 'references') UNION SELECT to_id, from_id FROM edges WHERE kind IN ('calls', 'references')), w0 AS MATERIALIZED (SELECT id, id AS c FROM nodes)"
+    for r in range(1, rounds + 1):
+        out += f", w{r} AS MATERIALIZED (SELECT w.id, least(w.c, coalesce(m, w.c)) AS c FROM w{r - 1} w LEFT JOIN (SELECT a, min(c) AS m FROM s JOIN w{r - 1} ON b = id GROUP BY a) ON a = w.id)"
+    return out + f" SELECT c AS component, count(*) AS size FROM w{rounds} GROUP BY c"
 
 
-def _cycles(g: Graph) -> DataFrame:
-    c = G.strong_components(g._sql(_NATION), g._sql(_TRADE))
-    return c.groupBy("component").agg(F.count("*").alias("size")).where("size >= 2").withColumn("severity", F.lit(1))
+def _imports_and_calls(g: Graph) -> DataFrame:
+    return g.edges.where("kind IN ('imports', 'calls')").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "kind")
 
 
-graph("f9_cycles", _cycles, f", t AS MATERIALIZED ({_TRADE}), SCC_MARK SELECT component, count(*) AS size, 1 AS severity FROM (SELECT id, coalesce((SELECT min(x.b) FROM scc x JOIN scc y ON x.a = y.b AND x.b = y.a WHERE x.a = n.id), id) AS component FROM ({_NATION}) n) GROUP BY 1 HAVING count(*) >= 2")
+graph("f7_weak_components", lambda g: G.components(g.nodes, _calls(g)).groupBy("component").agg(F.count("*").alias("size")), _wcc_sql(12))
+graph("f8_strong_components", lambda g: G.strong_components(g.nodes, _imports_and_calls(g)), None)
+graph("f9_cycles", lambda g: G.cycles(g.nodes, _imports_and_calls(g), g.nodes.select("id", F.col("file_path").alias("community"))), None)
 graph("f10_k_core", lambda g: G.k_core(g.nodes, _calls(g)), None)
-graph("f11_f12_communities", lambda g: G.communities(g.nodes, G.weighted_pairs(g.edges, ["calls", "references"])).groupBy("community").agg(F.count("*").alias("size")), None)
+
+
+def _partition(g: Graph, refined: bool) -> DataFrame:
+    return C.communities(g.nodes, G.weighted_pairs(g.edges, ["calls", "references"]), refined)
+
+
+def _repartition(g: Graph) -> DataFrame:
+    """The Leiden partition again after the nodes of one region changed."""
+    pairs = G.weighted_pairs(g.edges, ["calls", "references"])
+    before = C.communities(g.nodes, pairs)
+    return C.communities(g.nodes, pairs, before=before, changed=g.nodes.where("repo_prefix = 'ASIA'"))
+
+
+graph("f11_leiden", lambda g: _partition(g, True), None)
+graph("f12_louvain", lambda g: _partition(g, False), None)
+graph("f14_incremental_leiden", _repartition, None)
+graph("f11_label_moves", lambda g: G.communities(g.nodes, G.weighted_pairs(g.edges, ["calls", "references"])), None)
 graph("f13_edge_weights", lambda g: g.edges.groupBy("kind").agg(F.round(F.sum(S.community_weight(F.col("kind"))), 3).alias("w")), "SELECT kind, round(sum(CASE kind WHEN 'calls' THEN 3.0::DOUBLE WHEN 'member_of' THEN 2.0::DOUBLE WHEN 'implements' THEN 2.0::DOUBLE WHEN 'references' THEN 1.5::DOUBLE WHEN 'imports' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 3) AS w FROM edges GROUP BY kind")
 graph("f16_zoom", lambda g: G.zoom(g.edges, g.nodes.select("id", F.col("file_path").alias("unit")), ["calls", "references"]), "SELECT a.file_path AS from_unit, b.file_path AS to_unit, count(*) AS n FROM edges e JOIN nodes a ON from_id = a.id JOIN nodes b ON to_id = b.id WHERE e.kind IN ('calls', 'references') AND a.file_path <> b.file_path GROUP BY 1, 2")
 
 
 def _dead(g: Graph) -> DataFrame:
-    return J.dead_code_candidates(g.nodes, g.edges).where(~S.is_test_file(F.col("file_path")) & (F.col("repo_prefix") == "LIB")).select("id", "kind")
+    return J.dead_code_candidates(g.nodes, g.edges).where(~S.is_test_file(F.col("file_path"))).select("id", "kind")
 
 
-graph("f17_f18_dead_code", _dead, "SELECT id, kind FROM nodes n WHERE repo_prefix = 'LIB' AND NOT regexp_matches(file_path, '_test\\.go$') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.to_id = n.id AND ((n.kind = 'function' AND e.kind IN ('calls', 'references')) OR (n.kind = 'method' AND e.kind IN ('calls', 'implements'))))")
+graph("f17_f18_dead_code", _dead, "SELECT id, kind FROM nodes n WHERE kind IN ('function', 'method', 'type', 'interface') AND NOT regexp_matches(file_path, '_test\\.go$') AND NOT EXISTS (SELECT 1 FROM edges e JOIN (" + _USAGE + ") u ON e.kind = ek WHERE e.to_id = n.id AND nk = n.kind)")
 _RAW = f"SELECT f.id, fan_in, fan_out, coalesce(crossings, 0) AS crossings, 2.0::DOUBLE * fan_in + 1.5::DOUBLE * fan_out + 3.0::DOUBLE * coalesce(crossings, 0) AS raw FROM ({_FANS}) f LEFT JOIN ({_CROSS}) c ON f.id = c.id"
 
 
@@ -155,7 +186,7 @@ def _hotspots(g: Graph) -> DataFrame:
 
 
 graph("analyze_hotspots", _hotspots, f", h AS MATERIALIZED (SELECT *, round(CASE WHEN max(raw) OVER () > 0 THEN 100.0::DOUBLE * raw / max(raw) OVER () ELSE 0.0 END, 2) AS score FROM ({_RAW})) SELECT * FROM h WHERE score >= (SELECT avg(score) + 2 * stddev_pop(score) FROM h)")
-graph("f20_f21_impact", lambda g: G.impact(T.reach_index(g.edges, g.nodes.where("kind = 'interface'").select("id"), None, 2)), _REACH + " SELECT seed, d1, d2, d3, CASE WHEN d1 >= 10 OR (d1 >= 5 AND d2 >= 20) THEN 'CRITICAL' WHEN d1 >= 5 OR d2 >= 10 THEN 'HIGH' WHEN d1 >= 2 OR d2 >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM (SELECT seed, least(50, count(*) FILTER (depth = 1)) AS d1, least(50, count(*) FILTER (depth = 2)) AS d2, 0 AS d3 FROM reach GROUP BY seed)")
+graph("f20_f21_impact", lambda g: G.impact(T.reach_index(g.edges, g.nodes.where("kind = 'interface'").select("id"), None)), _REACH + " SELECT seed, d1, d2, d3, CASE WHEN d1 >= 10 OR (d1 >= 5 AND d2 >= 20) THEN 'CRITICAL' WHEN d1 >= 5 OR d2 >= 10 THEN 'HIGH' WHEN d1 >= 2 OR d2 >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM (SELECT seed, least(50, count(*) FILTER (depth = 1)) AS d1, least(50, count(*) FILTER (depth = 2)) AS d2, least(50, count(*) FILTER (depth = 3)) AS d3 FROM reach GROUP BY seed)")
 
 
 def _prrisk(g: Graph) -> DataFrame:
@@ -175,11 +206,11 @@ def _layers(g: Graph) -> DataFrame:
 
 
 graph("f23_f24_layer_rules", _layers, "SELECT a.kind AS from_kind, b.kind AS to_kind, count(*) AS violations FROM edges e JOIN nodes a ON from_id = a.id JOIN nodes b ON to_id = b.id WHERE e.kind IN ('calls', 'references', 'implements') AND (a.kind, b.kind) NOT IN (('function', 'function'), ('function', 'method'), ('function', 'type'), ('type', 'interface')) GROUP BY 1, 2")
-_SIM = "SELECT a, b, sim FROM (SELECT l.l_suppkey AS a, r.l_suppkey AS b, least(1.0::DOUBLE, count(*) / {d}::DOUBLE) AS sim FROM lineitem l JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND l.l_suppkey < r.l_suppkey WHERE l.l_quantity >= 45 AND r.l_quantity >= 45 GROUP BY 1, 2)"
+_SIM = "SELECT a, b, sim FROM (SELECT l.l_suppkey AS a, r.l_suppkey AS b, least(1.0::DOUBLE, count(*) / {d}::DOUBLE) AS sim FROM lineitem l JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND l.l_suppkey < r.l_suppkey GROUP BY 1, 2)"
 
 
 def _diffuse(g: Graph) -> DataFrame:
-    li = g.tables["lineitem"].where("l_quantity >= 45").select("l_orderkey", "l_suppkey")
+    li = g.tables["lineitem"].select("l_orderkey", "l_suppkey")
     p = li.select("l_orderkey", F.col("l_suppkey").alias("a")).join(li.select("l_orderkey", F.col("l_suppkey").alias("b")), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.least(F.lit(1.0), F.count("*") / 1.25).alias("sim"))
     return G.diffuse(p).select("a", "c", F.round("score", 6).alias("score"))
 
@@ -194,8 +225,6 @@ def _finish() -> None:
     for name, sql in list(catalog._SQL.items()):
         for mark, body in (
             ("RECURSIVE_MARK", "r AS (SELECT 'fn::c10' AS id UNION SELECT to_id FROM r JOIN edges ON from_id = id WHERE kind IN ('calls', 'imports'))"),
-            ("WCC_MARK", "reach AS (SELECT a AS x, a AS y FROM s UNION SELECT b, b FROM s UNION SELECT x, CASE WHEN s.a = y THEN s.b ELSE s.a END FROM reach JOIN s ON s.a = y OR s.b = y), wcc AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x)"),
-            ("SCC_MARK", "scc AS (SELECT src AS a, dst AS b FROM t UNION SELECT a, dst FROM scc JOIN t ON b = src)"),
         ):
             if mark in sql:
                 catalog._SQL[name] = sql.replace(mark, body).replace("WITH nodes", "WITH RECURSIVE nodes", 1)

@@ -30,7 +30,7 @@ graph("j10_affected", lambda g: C.affected(g.nodes, g.edges, g.nodes.where("name
 table("j11_feed", lambda spark, t: C.feed(_events(t), dt.datetime(2024, 1, 25)).select("event_id", "kind"), "SELECT event_id, event_type AS kind FROM events WHERE ts > TIMESTAMP '2024-01-25'")
 graph("j13_stale_references", lambda g: C.stale_references(g.edges, g.nodes.where("kind = 'interface'").select("id")), "SELECT to_id, count(*) AS n FROM edges WHERE to_id IN (SELECT id FROM nodes WHERE kind = 'interface') GROUP BY 1")
 table("j15_live_overlays", lambda spark, t: C.live(t("events").groupBy("user_id").agg(F.max("ts").alias("touched")), dt.datetime(2024, 1, 31), 86400).select("user_id"), "SELECT user_id FROM events GROUP BY 1 HAVING epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts))) <= 86400")
-table("i4_merkle", lambda spark, t: I.merkle(t("pages").select(F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("#"), F.col("page_id")).alias("file_path"), F.sha2("html", 256).alias("sha")).where("NOT contains(file_path, '?')"), 1), "SELECT regexp_replace(name, '/?[^/]*$', '') AS dir, 0 AS level, sha256(string_agg(name || ':' || sha, chr(10) ORDER BY name || ':' || sha)) AS sha FROM (SELECT regexp_replace(url, '^[a-z]+://', '') || '#' || page_id AS name, sha256(html) AS sha FROM pages) WHERE NOT contains(name, '?') GROUP BY 1")
+table("i4_merkle", lambda spark, t: I.merkle(t("pages").select(F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("#"), F.col("page_id")).alias("file_path"), F.sha2("html", 256).alias("sha")), 1), "SELECT regexp_replace(name, '/?[^/]*$', '') AS dir, 0 AS level, sha256(string_agg(name || ':' || sha, chr(10) ORDER BY name || ':' || sha)) AS sha FROM (SELECT regexp_replace(url, '^[a-z]+://', '') || '#' || page_id AS name, sha256(html) AS sha FROM pages) GROUP BY 1")
 graph("i7_cypher", lambda g: I.cypher(g.nodes, g.edges.select("from_id", "to_id", "kind").distinct()), "SELECT 'CREATE (:' || kind || ' {id: ''' || id || ''', name: ''' || name || '''});' AS line FROM nodes UNION ALL SELECT 'MATCH (a {id: ''' || from_id || '''}), (b {id: ''' || to_id || '''}) CREATE (a)-[:' || upper(kind) || ']->(b);' FROM (SELECT DISTINCT from_id, to_id, kind FROM edges)")
 graph("i8_graphml", lambda g: I.graphml(g.nodes, g.edges.where("kind = 'imports'")), "SELECT '<node id=\"' || id || '\"><data key=\"kind\">' || kind || '</data></node>' AS line FROM nodes UNION ALL SELECT '<edge source=\"' || from_id || '\" target=\"' || to_id || '\"><data key=\"kind\">' || kind || '</data></edge>' FROM edges WHERE kind = 'imports'")
 graph("i9_mermaid", lambda g: I.mermaid(g.edges.where("kind = 'imports'")), "SELECT '  n' || substr(md5(from_id), 1, 8) || '[\"' || from_id || '\"] -->|imports| n' || substr(md5(to_id), 1, 8) || '[\"' || to_id || '\"]' AS line FROM edges WHERE kind = 'imports'")

@@ -131,8 +131,8 @@ def _commits(spark: SparkSession, t) -> DataFrame:
 table("b21_co_change", lambda spark, t: J.co_change_pairs(_commits(spark, t), min_count=2), "WITH c AS (SELECT DISTINCT l_orderkey AS commit, l_partkey AS file FROM lineitem), s AS (SELECT c.* FROM c JOIN (SELECT commit FROM c GROUP BY commit HAVING count(*) BETWEEN 2 AND 40) USING (commit)), t AS (SELECT file, count(*) AS t FROM s GROUP BY file), p AS (SELECT x.file AS a, y.file AS b, count(*) AS together FROM s x JOIN s y ON x.commit = y.commit AND x.file < y.file GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, together, round(least(1.0::DOUBLE, together / sqrt((ta.t * tb.t)::DOUBLE)), 6) AS score FROM p JOIN t ta ON a = ta.file JOIN t tb ON b = tb.file")
 _DEFS = "SELECT id, name, file_path, repo_prefix FROM nodes WHERE kind = 'method'"
 graph(
-    "b22_resolve", lambda g: J.resolve(g.nodes.where("kind = 'function' AND repo_prefix = 'LIB'").select(F.col("id").alias("ref_id"), "name", "file_path", "repo_prefix"), g.nodes.where("kind = 'method'")),
-    f"SELECT ref_id, def_id, rank, candidates FROM (SELECT r.id AS ref_id, d.id AS def_id, CASE WHEN d.file_path = r.file_path THEN 0 WHEN regexp_replace(d.file_path, '/?[^/]*$', '') = regexp_replace(r.file_path, '/?[^/]*$', '') THEN 1 WHEN d.repo_prefix = r.repo_prefix THEN 2 ELSE 3 END AS rank, count(*) OVER (PARTITION BY r.id) AS candidates, row_number() OVER (PARTITION BY r.id ORDER BY rank, d.id) AS k FROM nodes r JOIN ({_DEFS}) d ON r.name = d.name WHERE r.kind = 'function' AND r.repo_prefix = 'LIB') WHERE k = 1",
+    "b22_resolve", lambda g: J.resolve(g.nodes.where("kind = 'function'").select(F.col("id").alias("ref_id"), "name", "file_path", "repo_prefix"), g.nodes.where("kind = 'method'")),
+    f"SELECT ref_id, def_id, rank, candidates FROM (SELECT r.id AS ref_id, d.id AS def_id, CASE WHEN d.file_path = r.file_path THEN 0 WHEN regexp_replace(d.file_path, '/?[^/]*$', '') = regexp_replace(r.file_path, '/?[^/]*$', '') THEN 1 WHEN d.repo_prefix = r.repo_prefix THEN 2 ELSE 3 END AS rank, count(*) OVER (PARTITION BY r.id) AS candidates, row_number() OVER (PARTITION BY r.id ORDER BY rank, d.id) AS k FROM nodes r JOIN ({_DEFS}) d ON r.name = d.name WHERE r.kind = 'function') WHERE k = 1",
 )
 
 
@@ -181,8 +181,19 @@ graph("c19_coverage_summary", lambda g: A.coverage_summary(J.coverage(g._sql(_SE
 table("c20_distribution", lambda spark, t: A.distribution(t("customer").select(F.col("c_custkey").alias("id"), F.greatest(F.lit(0.0), "c_acctbal").alias("score"), F.col("c_mktsegment").alias("segment")), "segment"), "SELECT segment, n, round(m, 6) AS mean, round(med, 6) AS median, round(sd, 6) AS stddev, round(2 * rs / (n * s) - (n + 1) / n::DOUBLE, 6) AS gini FROM (SELECT segment, count(*) AS n, avg(score) AS m, quantile_cont(score, 0.5) AS med, stddev_pop(score) AS sd, sum(r * score) AS rs, sum(score) AS s FROM (SELECT c_mktsegment AS segment, greatest(0.0::DOUBLE, c_acctbal) AS score, row_number() OVER (PARTITION BY c_mktsegment ORDER BY greatest(0.0::DOUBLE, c_acctbal), c_custkey) AS r FROM customer) GROUP BY segment)")
 table("c21_c22_time_buckets", lambda spark, t: A.time_buckets(t("events").select(F.col("event_type").alias("tool"), "ts", "value"), dt.datetime(2024, 1, 30)), "SELECT event_type AS tool, count(*) FILTER (ts::DATE = DATE '2024-01-30') AS calls_today, count(*) FILTER (ts::DATE > DATE '2024-01-23') AS calls_week, count(*) AS calls, round(sum(CASE WHEN ts::DATE = DATE '2024-01-30' THEN value ELSE 0.0 END), 4) AS value_today, round(sum(CASE WHEN ts::DATE > DATE '2024-01-23' THEN value ELSE 0.0 END), 4) AS value_week, round(sum(value), 4) AS value FROM events GROUP BY 1")
 graph("c23_cohesion", lambda g: A.cohesion(g.edges.where("kind IN ('calls', 'references')").withColumn("weight", S.community_weight(F.col("kind"))), g.nodes.select("id", F.col("repo_prefix").alias("community"))), "SELECT c AS community, round(sum(CASE WHEN a = b THEN w ELSE 0.0 END) / sum(w), 6) AS cohesion FROM (SELECT a, b, w, unnest(CASE WHEN a = b THEN [a] ELSE [a, b] END) AS c FROM (SELECT x.repo_prefix AS a, y.repo_prefix AS b, CASE e.kind WHEN 'calls' THEN 3.0::DOUBLE ELSE 1.5::DOUBLE END AS w FROM edges e JOIN nodes x ON from_id = x.id JOIN nodes y ON to_id = y.id WHERE e.kind IN ('calls', 'references'))) GROUP BY c")
-table("c24_shingle_counts", lambda spark, t: t("documents").select(F.explode(F.split(F.lower("text"), r"[ \n]+")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 50"), "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS term FROM documents) GROUP BY term HAVING count(*) >= 50")
-graph("c26_co_tokens", lambda g: X.co_tokens(g.nodes.where("repo_prefix = 'LIB'").select("id", "name"), 3, 6, 4000), "SELECT a, b, n FROM (SELECT a, b, count(*) AS n, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, b) AS k FROM (SELECT x.id, x.t AS a, y.t AS b FROM (SELECT id, unnest(list_distinct(string_split(name, ' '))) AS t FROM nodes WHERE repo_prefix = 'LIB') x JOIN (SELECT id, unnest(list_distinct(string_split(name, ' '))) AS t FROM nodes WHERE repo_prefix = 'LIB') y ON x.id = y.id AND x.t <> y.t) GROUP BY a, b HAVING count(*) >= 3) WHERE k <= 6")
+def _sketched(spark: SparkSession, t) -> DataFrame:
+    """Exact counts beside those of a sketch of half the documents, merged with one of the other half."""
+    terms = lambda d: d.select(F.explode(F.split(F.lower("text"), r"[ \n]+")).alias("term"))
+    d = t("documents")
+    halves = [A.count_min(terms(d.where(F.pmod("doc_id", F.lit(2)) == r)), "term") for r in (0, 1)]
+    exact = terms(d).groupBy("term").agg(F.count("*").alias("n"))
+    return A.count_min_estimate(A.count_min_merge(*halves), exact, "term")
+
+
+_SLOTS = " UNION ALL ".join(f"SELECT term, n, {r} AS row, CAST('0x' || substr(md5(term), {1 + 7 * r}, 7) AS BIGINT) % 4096 AS slot FROM e" for r in range(4))
+table("c24_shingle_counts", _sketched, f"WITH e AS MATERIALIZED (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS term FROM documents) GROUP BY term), p AS MATERIALIZED ({_SLOTS}), s AS (SELECT row, slot, sum(n) AS n FROM p GROUP BY 1, 2) SELECT p.term, any_value(p.n) AS n, min(s.n)::BIGINT AS estimate FROM p JOIN s USING (row, slot) GROUP BY p.term")
+_NAME_TOK = r"list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^\p{L}\p{Nd}]+'), lambda x: length(x) >= 2))"
+graph("c26_co_tokens", lambda g: X.co_tokens(g.nodes.select("id", "name"), 3, 6), f", x AS MATERIALIZED (SELECT id, unnest({_NAME_TOK}) AS t FROM nodes) SELECT a, b, n FROM (SELECT a, b, count(*) AS n, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, b) AS k FROM (SELECT x.t AS a, y.t AS b FROM x JOIN x y ON x.id = y.id AND x.t <> y.t) GROUP BY a, b HAVING count(*) >= 3) WHERE k <= 6")
 _RANKED = "SELECT o_custkey AS query, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 3 WHEN '2' THEN 1 ELSE 0 END AS grade FROM orders"
 
 

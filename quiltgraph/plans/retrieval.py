@@ -19,7 +19,7 @@ def docs(t, name: str = "documents") -> DataFrame:
 
 
 _TOK = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^\p{L}\p{Nd}]+'), lambda x: length(x) >= 2)"
-table("g1_index_tokens", lambda spark, t: docs(t).select(F.explode(S.index_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 20"), f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term HAVING count(*) >= 20")
+table("g1_index_tokens", lambda spark, t: docs(t).select(F.explode(S.index_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")), f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term")
 table("g2_query_tokens", lambda spark, t: t("conversations").select("conv_id", "turn", F.size(S.query_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n")), r"SELECT conv_id, turn, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{Nd}_]+'))::BIGINT AS n FROM conversations")
 _LOWTOK = r"list_filter(regexp_split_to_array(lower(text), '[ \n.,]+'), lambda x: x <> '')"
 
@@ -42,7 +42,7 @@ def bm25_sql(query: list[str]) -> str:
 
 table("g6_bm25", lambda spark, t: X.bm25(docs(t), _QUERY, _low(F.col("text"))), bm25_sql(_QUERY))
 table("g6_bm25_top", lambda spark, t: X.bm25(docs(t), _QUERY, _low(F.col("text")), 20), bm25_sql(_QUERY) + " ORDER BY score DESC, id LIMIT 20")
-table("g6_postings", lambda spark, t: X.postings(docs(t), _low(F.col("text"))).where("tf >= 30").select("term", "id", "tf", F.col("len").cast("long").alias("len")), f"SELECT term, id, count(*) AS tf, any_value(l)::BIGINT AS len FROM (SELECT doc_id AS id, unnest({_LOWTOK}) AS term, len({_LOWTOK}) AS l FROM documents) GROUP BY term, id HAVING count(*) >= 30")
+table("g6_postings", lambda spark, t: X.postings(docs(t), _low(F.col("text"))).select("term", "id", "tf", F.col("len").cast("long").alias("len")), f"SELECT term, id, count(*) AS tf, any_value(l)::BIGINT AS len FROM (SELECT id, unnest(ts) AS term, len(ts) AS l FROM (SELECT doc_id AS id, {_LOWTOK} AS ts FROM documents)) GROUP BY term, id")
 table("g7_g8_prefix_search", lambda spark, t: docs(t).select("id", F.size(F.filter(_low(F.col("text")), lambda x: x.startswith("lic"))).cast("long").alias("hits")).where("hits > 0"), f"SELECT doc_id AS id, len(list_filter({_LOWTOK}, lambda x: starts_with(x, 'lic')))::BIGINT AS hits FROM documents WHERE len(list_filter({_LOWTOK}, lambda x: starts_with(x, 'lic'))) > 0")
 table("g9_bigram_rescue", lambda spark, t: X.bigram_rescue(t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "wigdet", 3), "SELECT p_partkey AS id, len(list_intersect(list_distinct(list_transform(range(1, length(p_name)), lambda i: substr(lower(p_name), i, 2))), ['wi', 'ig', 'gd', 'de', 'et'])) AS shared FROM part WHERE len(list_intersect(list_distinct(list_transform(range(1, length(p_name)), lambda i: substr(lower(p_name), i, 2))), ['wi', 'ig', 'gd', 'de', 'et'])) >= 3")
 table("g10_trigrams", lambda spark, t: X.trigram_candidates(docs(t), F.col("text"), "License").select("id"), "SELECT doc_id AS id FROM documents WHERE contains(text, 'Lic') AND contains(text, 'ice') AND contains(text, 'cen') AND contains(text, 'ens') AND contains(text, 'nse')")
@@ -77,13 +77,13 @@ table("g16_knn_join", lambda spark, t: X.knn_join(_vec(t), _vec(t).where("id % 5
 
 def _fusion(spark: SparkSession, t, alpha: float | None) -> DataFrame:
     o = t("orders")
-    a = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), (F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1).alias("rank")).where("rank < 500")
-    b = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), (F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_orderdate"), "o_orderkey")) - 1).alias("rank")).where("rank < 500")
+    a = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), (F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1).alias("rank"))
+    b = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), (F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_orderdate"), "o_orderkey")) - 1).alias("rank"))
     return X.rrf(a, b, alpha)
 
 
 def _fusion_sql(a: str, b: str) -> str:
-    return f"SELECT id, round(coalesce({a} / (60 + t + 1.0::DOUBLE), 0.0) + coalesce({b} / (60 + v + 1.0::DOUBLE), 0.0), 9) AS score FROM (SELECT * FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS t FROM orders WHERE o_orderstatus = 'P') WHERE t < 500) FULL JOIN (SELECT * FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS v FROM orders WHERE o_orderpriority = '1-URGENT') WHERE v < 500) USING (id)"
+    return f"SELECT id, round(coalesce({a} / (60 + t + 1.0::DOUBLE), 0.0) + coalesce({b} / (60 + v + 1.0::DOUBLE), 0.0), 9) AS score FROM (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS t FROM orders WHERE o_orderstatus = 'P') FULL JOIN (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS v FROM orders WHERE o_orderpriority = '1-URGENT') USING (id)"
 
 
 table("g17_g18_rrf", lambda spark, t: _fusion(spark, t, None), _fusion_sql("1.0::DOUBLE", "1.0::DOUBLE"))
@@ -99,9 +99,6 @@ def _rerank(spark: SparkSession, t) -> DataFrame:
 
 table("g23_g26_rerank", _rerank, "SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, text_rank, id) AS rank FROM (SELECT query, id, text_rank, round(0.5::DOUBLE * least(1.0::DOUBLE, ln(1 + p) / ln(1 + max(p) OVER (PARTITION BY query))) + 0.3::DOUBLE * exp(-ln(2.0::DOUBLE) / 30.0::DOUBLE * (floor((epoch(TIMESTAMP '2002-01-01') - epoch(d)) / 86400) / 100.0::DOUBLE)) + 1.0::DOUBLE / text_rank, 9) AS score FROM (SELECT o_custkey AS query, o_orderkey AS id, o_totalprice AS p, o_orderdate AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS text_rank FROM orders))")
 table("g27_g33_frecency", lambda spark, t: X.frecency(t("events").select(F.col("user_id").alias("id"), "ts"), dt.datetime(2024, 2, 1), 3.0), "SELECT user_id AS id, round(sum(exp(-ln(2.0::DOUBLE) / 3.0::DOUBLE * ((epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 86400.0::DOUBLE))), 6) AS score FROM events GROUP BY 1")
-table("g28_g29_file_coherence", lambda spark, t: t("lineitem").groupBy("l_partkey").agg(F.round(F.sum("l_quantity") / F.max("l_quantity"), 6).alias("coherence")), "SELECT l_partkey, round(sum(l_quantity) / max(l_quantity), 6) AS coherence FROM lineitem GROUP BY 1")
-table("g31_head_refine", lambda spark, t: t("orders").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.when(F.col("r") <= 5, 0).otherwise(1), F.when(F.col("r") <= 5, F.col("o_orderdate")), "r"))).select("o_custkey", "o_orderkey", "rank"), "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN r <= 5 THEN 0 ELSE 1 END, CASE WHEN r <= 5 THEN o_orderdate END NULLS FIRST, r) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)")
-table("g32_rank_reset", lambda spark, t: t("orders").select("o_orderkey", "o_orderpriority", (F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1).alias("rank")), "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank FROM orders")
 table("g34_combo", lambda spark, t: X.combo(t("events").select(F.col("event_type").alias("query"), F.col("user_id").alias("id")), 5, 0.1).select("query", "id", "hits", F.round("boost", 6).alias("boost")), "SELECT event_type AS query, user_id AS id, count(*) AS hits, round(least(3.0::DOUBLE, 1 + (count(*) - 5 + 1) * 0.1::DOUBLE), 6) AS boost FROM events GROUP BY 1, 2 HAVING count(*) >= 5")
 
 
@@ -120,7 +117,6 @@ def _clones(spark: SparkSession, t) -> DataFrame:
 
 
 table("g36_g40_clone_clusters", _clones, None)
-table("g41_static_embedding", lambda spark, t: t("embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")), "SELECT label, i, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2")
 
 # H. scalar functions over whole tables
 table("h1_http_paths", lambda spark, t: t("pages").select("page_id", S.http_path(F.regexp_replace("url", "/([0-9]+)", "/:id")).alias("p")), "SELECT page_id, replace(regexp_replace(regexp_replace(url, '/([0-9]+)', '/:id', 'g'), ':[A-Za-z_][A-Za-z0-9_]*', '{param}', 'g'), '{nothing}', '') AS p FROM pages")
@@ -129,7 +125,6 @@ table("h6_package", lambda spark, t: t("pages").select("page_id", S.package_of(F
 table("h18_age_days", lambda spark, t: t("orders").select("o_orderkey", S.age_days(F.lit(dt.datetime(2002, 1, 1)), F.col("o_orderdate")).alias("days")), "SELECT o_orderkey, CAST(floor((epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate)) / 86400) AS BIGINT) AS days FROM orders")
 table("h17_h19_days_and_clamp", lambda spark, t: t("events").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum(S.clamp_percent(F.col("value") * 3)), 4).alias("v")), "SELECT ts::DATE AS day, round(sum(greatest(0.0::DOUBLE, least(100.0::DOUBLE, value * 3))), 4) AS v FROM events GROUP BY 1")
 table("h20_h21_tokens_and_cost", lambda spark, t: t("documents").groupBy("source").agg(F.sum(S.token_estimate(F.col("text"))).alias("tokens"), F.round(F.sum(S.token_estimate(F.col("text"))) * 0.000003, 9).alias("cost")), "SELECT source, sum(ceil(length(text) / 4.0))::BIGINT AS tokens, round(sum(ceil(length(text) / 4.0))::BIGINT * 0.000003::DOUBLE, 9) AS cost FROM documents GROUP BY 1")
-table("h22_todo_scan", lambda spark, t: docs(t).select("id", F.explode(F.split("text", "\n")).alias("line")).select("id", S.todo_fields(F.concat(F.lit("// TODO(@amy) XY-1 "), F.col("line"))).alias("f")).groupBy("f.tag", "f.assignee", "f.ticket").agg(F.count("*").alias("n")), "SELECT 'TODO' AS tag, 'amy' AS assignee, 'XY-1' AS ticket, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) FROM documents)")
 table("h24_redact", lambda spark, t: docs(t).select("id", F.length(S.redact(F.col("text"))).cast("long").alias("chars")), r"SELECT doc_id AS id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g'), '\bAKIA[0-9A-Z]{16}\b', '<aws-key>', 'g'), '\bgh[pousr]_[A-Za-z0-9]{36,}\b', '<token>', 'g'), '(?i)\b(password|secret|api_key)\s*[=:]\s*[^\s]+', '<secret>', 'g'))::BIGINT AS chars FROM documents")
 table("h29_h8_ids", lambda spark, t: t("part").select("p_partkey", S.file_of(F.concat(F.lower("p_type"), F.lit(".go::"), "p_name")).alias("file")), "SELECT p_partkey, lower(p_type) || '.go' AS file FROM part")
 table("h30_gcx_rows", lambda spark, t: t("part").select(S.gcx_row(F.col("p_partkey"), F.col("p_name"), F.col("p_brand")).alias("line")), "SELECT p_partkey || chr(9) || p_name || chr(9) || p_brand AS line FROM part")

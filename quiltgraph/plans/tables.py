@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a local one only where none is set, as in tests."""
+    """The session's shared checkpoint folder; a local one only where none is set and all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quiltgraph-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,3 +32,13 @@ def cut_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     seen = Observation()
     out = cut(df.observe(seen, *[c.alias(k) for k, c in measures.items()]))
     return out, seen.get
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`cut` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}:
+            if "/round-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
