@@ -169,6 +169,37 @@ def test_licenses_against_all_pairs(spark):
             assert n == len(ws) and {(k, c) for k, _, _, c in found} == want
 
 
+def test_license_blocks_across_lines_against_all_pairs():
+    """Texts of many lines: every line and every run, against every template."""
+    m = licenses.Matcher(licenses.TEMPLATES, licenses.PHRASES, {b"software": 9}, 0.8)
+    rng = random.Random(14)
+    for trial in range(60):
+        ws = []
+        for _ in range(rng.randrange(1, 5)):
+            ws += [f"x{rng.randrange(50)}" for _ in range(rng.randrange(0, 60))]
+            t = [w.decode() for w in words(rng.choice(licenses.TEMPLATES)[1])]
+            ws += [w for w in t if rng.random() < rng.choice((1, 0.95, 0.8))]
+        lines, at = [], 0
+        while at < len(ws):
+            k = rng.choice((3, 8, 30, 200))
+            lines.append(ws[at : at + k])
+            at += k
+        blocks = [(x[a : a + 64], None) for x in lines for a in range(0, max(1, len(x) - 32), 32)]
+        for run in {max(16, 1 << (2 * len(words(t)) - 1).bit_length()) for _, t in licenses.TEMPLATES}:
+            blocks += [(ws[a : a + run], run) for a in range(0, max(1, len(ws) - run // 2), run // 2)]
+        best = {}
+        for x, run in blocks:
+            have = {w.encode() for w in x}
+            for k, (_, t) in enumerate(licenses.TEMPLATES):
+                s = set(words(t))
+                if run in (None, max(16, 1 << (2 * len(words(t)) - 1).bit_length())) and len(s & have) >= 0.8 * len(s) - 1e-9:
+                    best[k] = max(best.get(k, 0), len(s & have) / len(s))
+        got = {}
+        for k, _, _, c in licenses.scan_text("\n".join(" ".join(x) for x in lines), m)[2]:
+            got[k] = max(got.get(k, 0), c)
+        assert got == best
+
+
 def test_license_digests(spark, tmp_path):
     rows = [(1, "x\nReleased under the MIT License.\ny", "s"), (2, "CC BY-NC all rights reserved cc by", "s"), (3, None, "s"), (4, "General\nPublic license", "s"), (5, "plain words " * 9000 + "Licensed under the Apache License, Version 2.0.", "s")]
     path = str(tmp_path / "t")
