@@ -35,7 +35,7 @@ def test_warc_round_trip(spark):
         assert r.response.payload_bytes == len(body)
         if r.response.record_type == "response":
             assert bytes(r.response.payload) == body and r.response.actual_digest == r.response.payload_digest
-        assert r.request is not None and r.metadata is not None
+        assert len(r.requests) == 1 and len(r.metadata) == 1
     assert [by[i].response.record_type for i in range(1, 8)] == ["response", "revisit", "response", "response", "response", "revisit", "revisit"]
     assert by[2].response.refers_to == by[1].capture_id and by[7].response.refers_to == by[3].capture_id
 
@@ -61,6 +61,56 @@ def test_warc_empty_and_plain_archives(spark, tmp_path):
         list(warc.parse(rec[:-20]))
 
 
+def test_warc_links_either_way_and_leftovers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\nhi"
+    rec = lambda kind, rid, *names: warc.record(kind, rid, f"http://{rid}/", {}, http if kind == "response" else b"x: y\r\n", "application/http" if kind != "metadata" else "application/warc-fields").replace(b"\r\nContent-Type", b"".join(b"\r\nWARC-Concurrent-To: <%s>" % n.encode() for n in names) + b"\r\nContent-Type", 1) + b"\r\n\r\n"
+    data = [rec("response", "r1"), rec("request", "q1", "r1"), rec("request", "q2", "r1"), rec("metadata", "m1", "r1", "r2")]  # several, and one for two captures
+    data += [rec("response", "r2", "q3"), rec("request", "q3"), rec("metadata", "m2", "q3")]  # named by the response, and by way of the request
+    data += [rec("request", "q9", "gone"), rec("metadata", "m9", "gone"), rec("metadata", "lone")]
+    data += [rec("response", "r3")]
+    (tmp_path / "a.warc").write_bytes(b"".join(data))
+    got = {r.capture_id: r for r in warc.assemble(spark, str(tmp_path)).collect()}
+    ids = lambda xs: [x.record_id for x in xs]
+    assert set(got) == {"r1", "r2", "r3", "gone", "lone"}
+    assert (ids(got["r1"].requests), ids(got["r1"].metadata)) == (["q1", "q2"], ["m1"])
+    assert (ids(got["r2"].requests), ids(got["r2"].metadata)) == (["q3"], ["m1", "m2"])
+    assert got["r3"].requests == [] and got["r3"].response is not None
+    assert got["gone"].response is None and (ids(got["gone"].requests), ids(got["gone"].metadata)) == (["q9"], ["m9"])
+    assert ids(got["lone"].metadata) == ["lone"]
+
+
+def test_warc_members_rolling_and_targets(spark, monkeypatch):
+    """Repeated ids, small archives: every revisit's target exists, every record is a gzip member."""
+    import glob
+    import zlib
+
+    monkeypatch.setattr(warc, "ROW_BYTES", 2000)
+    monkeypatch.setattr(warc, "FILE_ROWS", 3)
+    big = "".join(chr(65 + (i * 7919 + i * i) % 60) for i in range(30_000))
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "else"), (2, "u", "same"), (3, "u", "same"), (None, "u", "same"), (None, "u", "same"), (None, "u", None)] + [(i, "w", f"page {i} " * 40) for i in range(10, 60)] + [(90, "big", big)]
+    path, got = run_warc(spark, rows)
+    assert len(got) == len(rows) == len({r.capture_id for r in got})
+    ids = {r.capture_id for r in got if r.response.record_type == "response"}
+    visits = [r for r in got if r.response.record_type == "revisit"]
+    assert sorted(str(r.page_id) for r in visits) == ["2", "3", "None", "None"] and all(r.response.refers_to in ids for r in visits)
+    files = glob.glob(path.removeprefix("file://") + "/part-*")
+    assert len(files) > 4
+    n = 0
+    for f in files:
+        data = open(f, "rb").read()
+        assert gzip.decompress(data)
+        while data:
+            d = zlib.decompressobj(31)
+            text = d.decompress(data)
+            assert d.eof and (not text or (text.count(b"WARC/1.1\r\nWARC-Type") == 1 and text.endswith(b"\r\n\r\n")))
+            n += bool(text)
+            data = d.unused_data
+    assert n == 3 * len(rows)
+    plain = shared_dir(spark, "warc")
+    warc.write_captures(spark.createDataFrame(rows, PAGES), plain, compression="none")
+    assert warc.assemble(spark, plain).count() == len(rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=r"<|\im_endstar> a", max_size=40))
 def test_escape_is_reversible_and_safe(text):
