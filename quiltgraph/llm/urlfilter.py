@@ -2,10 +2,9 @@
 
 ``match_rules`` compiles a bounded rule list (host, path prefix, verdict) into one
 expression. ``match_listed`` tests canonical URLs against a listed set of any
-size: a blocked Bloom filter (256-bit blocks, at most MAX_BLOCKS of them, so its
-broadcast is bounded whatever the list's size) passes possible hits, and only
-these shuffle into the exact join that removes false positives. A list too large
-for the filter costs more survivors, never a wrong result. Built-in expressions only.
+size, written once. A blocked Bloom filter (256-bit blocks, as many as the list needs, and broadcast while these are at most MAX_BLOCKS)
+passes possible hits, and only these go into the exact join that removes false positives: by broadcast for a list of up to
+BROADCAST_URLS, else by a shuffle of the possible hits alone. A list beyond the filter's bound is joined exactly without it. Built-in expressions only.
 
 Nulls: a null url, or one without "://", has an empty host and path, fits no rule
 and is never listed. Repeated rows: one result each. Empty tables: empty result;
@@ -17,14 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, materialize, table
 
 #: Host, path, verdict; a rule fits its host and all subdomains.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Host labels whose pages make up the listed URLs of the registered query.
 LISTED_LABELS = ("ads-track", "adult-x", "free-bets")
 MAX_RULES = 10_000
-MAX_BLOCKS = 1 << 16
+#: Blocks of 32 bytes that are broadcast at most, and listed URLs.
+MAX_BLOCKS = 1 << 19
+BROADCAST_URLS = 500_000
 KEYS_PER_BLOCK = 16
 OUT = ("host", "path", "rule", "verdict", "canonical", "listed")
 
@@ -82,31 +83,38 @@ def bloom_blocks(keys: DataFrame, key_col: str, n_blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
 
 
-def match_listed(rows: DataFrame, key_col: str, listed: DataFrame, listed_col: str, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def match_listed(rows: DataFrame, key_col: str, listed: DataFrame, listed_col: str, max_blocks: int = MAX_BLOCKS, broadcast_urls: int = BROADCAST_URLS) -> DataFrame:
     """rows with a boolean column listed: key_col is among listed[listed_col]."""
-    keys = listed.where(F.col(listed_col).isNotNull()).select(F.col(listed_col).alias("_key")).distinct()
+    own = lambda name: f"urlfilter__{name}"
+    keys = materialize(listed.where(F.col(listed_col).isNotNull()).select(F.col(listed_col).alias(own("key"))).distinct(), "listed")
     n = keys.count()
-    n_blocks = max(64, min(max_blocks, -(-n // KEYS_PER_BLOCK)))
-    blocks = bloom_blocks(keys, "_key", n_blocks).select(F.col("block").alias("_b"), *[F.col(f"w{i}").alias(f"_w{i}") for i in range(4)])
-    k = F.col(key_col)
-    tested = rows.withColumn("_block", _block(k, n_blocks)).join(F.broadcast(blocks), F.col("_block") == F.col("_b"), "left")
-    maybe = k.isNotNull()
-    for i, m in enumerate(_masks(k)):
-        maybe = maybe & (F.col(f"_w{i}").bitwiseAND(m) == m)
-    tested = tested.withColumn("_maybe", F.coalesce(maybe, F.lit(False))).drop("_block", "_b", *[f"_w{i}" for i in range(4)])
-    no = tested.where(~F.col("_maybe")).drop("_maybe").withColumn("listed", F.lit(False))
-    hits = tested.where("_maybe").drop("_maybe").join(keys.withColumn("_on", F.lit(True)), k == F.col("_key"), "left")
-    return no.unionByName(hits.withColumn("listed", F.coalesce("_on", F.lit(False))).drop("_on", "_key"))
+    n_blocks = max(64, -(-n // KEYS_PER_BLOCK))
+    k, hit, maybe = F.col(key_col), F.col(own("key")), F.col(own("maybe"))
+    if n_blocks <= max_blocks:
+        blocks = bloom_blocks(keys, own("key"), n_blocks).select(F.col("block").alias(own("b")), *[F.col(f"w{i}").alias(own(f"w{i}")) for i in range(4)])
+        tested = rows.withColumn(own("block"), _block(k, n_blocks)).join(F.broadcast(blocks), F.col(own("block")) == F.col(own("b")), "left")  # blocks: max_blocks rows at most
+        passes = k.isNotNull()
+        for i, m in enumerate(_masks(k)):
+            passes = passes & (F.col(own(f"w{i}")).bitwiseAND(m) == m)
+        tested = tested.withColumn(own("maybe"), F.coalesce(passes, F.lit(False))).drop(own("block"), own("b"), *[own(f"w{i}") for i in range(4)])
+    else:
+        tested = rows.withColumn(own("maybe"), k.isNotNull())
+    done = lambda d: d.withColumn("listed", hit.isNotNull()).drop(own("key"), own("maybe"))
+    if n <= broadcast_urls:
+        return done(tested.join(F.broadcast(keys), F.when(maybe, k) == hit, "left"))  # keys: broadcast_urls rows at most
+    no = tested.where(~maybe).drop(own("maybe")).withColumn("listed", F.lit(False))
+    return no.unionByName(done(tested.where(maybe).join(keys, k == hit, "left")))
 
 
 def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule, verdict, canonical, listed. listed has a column canonical; the longest rule decides, else the list."""
-    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in OUT and not c.startswith("_")]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in OUT]
     host, path, query = split_url(F.col(f"`{url_col}`"))
-    one = pages.select(*kept, host.alias("host"), path.alias("path"), query.alias("_query"))
-    two = one.withColumn("canonical", canonical(F.col("host"), F.col("path"), F.col("_query"))).withColumn("_r", match_rules(F.col("host"), F.col("path"), rules)).drop("_query")
+    one = pages.select(*kept, host.alias("host"), path.alias("path"), query.alias("urlfilter__query"))
+    two = one.withColumn("canonical", canonical(F.col("host"), F.col("path"), F.col("urlfilter__query"))).withColumn("urlfilter__rule", match_rules(F.col("host"), F.col("path"), rules)).drop("urlfilter__query")
     out = match_listed(two, "canonical", listed, "canonical")
-    return out.withColumn("rule", F.col("_r.rule")).withColumn("verdict", F.coalesce(F.col("_r.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))).drop("_r")
+    verdict = F.coalesce(F.col("urlfilter__rule.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return out.withColumn("rule", F.col("urlfilter__rule.rule")).withColumn("verdict", verdict).drop("urlfilter__rule")
 
 
 def listed_urls(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:

@@ -171,6 +171,15 @@ def test_url_rules_and_list(spark):
 def test_bloom_misses_nothing(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("canonical"))
     rows = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"))
-    for blocks in (64, 1):  # one block is full: everything passes on to the exact join
-        got = urlfilter.match_listed(rows, "key", keys, "canonical", max_blocks=blocks)
+    for blocks, urls in ((1 << 10, 10_000), (1 << 10, 100), (1, 10_000), (1, 100)):  # beyond the bound of blocks: the exact join alone; beyond that of URLs: by shuffle
+        got = urlfilter.match_listed(rows.withColumn("_mine", F.lit(1)).withColumn("w0", F.lit("x")), "key", keys.unionByName(keys), "canonical", max_blocks=blocks, broadcast_urls=urls)
+        assert got.columns == ["key", "_mine", "w0", "listed"]
         assert got.where("listed").count() == 3000 and got.count() == 6000
+
+
+def test_judge_keeps_columns_with_odd_names(spark):
+    d = spark.createDataFrame([(1, "http://ads.org/x", "a", "b", "c")], "page_id long, url string, _r string, `a.b` string, host string")
+    got = urlfilter.judge(d, spark.createDataFrame([("ads.org/x",)], "canonical string"))
+    assert got.columns[:4] == ["page_id", "url", "_r", "a.b"]
+    r = got.first()
+    assert (r["_r"], r["a.b"], r["host"], r["verdict"]) == ("a", "b", "ads.org", "block")
