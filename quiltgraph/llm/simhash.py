@@ -45,6 +45,8 @@ SEED, SHINGLE, RADIUS = 42, 4, 4
 PER_BUCKET = 8
 N_PIVOTS = 16
 TILE = 4096
+#: Keys of large buckets that are broadcast at most.
+BROADCAST_KEYS = 100_000
 
 
 def pivots(n: int = N_PIVOTS, seed: int = SEED) -> np.ndarray:
@@ -169,7 +171,12 @@ def bucket_rows(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
         keys.append(key)
     rows = nodes.select("node", "fp", "dist", F.explode(F.array(*keys)).alias("key"))
     big = nodes.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    cut = rows.join(big.select("key", F.ceil(F.col("n") / (tile // 2)).cast("int").alias("m")), "key", "left")
+    big = materialize(big.select("key", F.ceil(F.col("n") / (tile // 2)).cast("int").alias("m")), "big")
+    n_big = big.count()
+    if n_big == 0:
+        cut = rows.withColumn("m", F.lit(None).cast("int"))
+    else:
+        cut = rows.join(F.broadcast(big) if n_big <= BROADCAST_KEYS else big, "key", "left")
     mine = F.pmod(F.xxhash64("node", "key"), F.col("m").cast("long")).cast("int")
     part = F.when(F.col("m").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: (F.least(o, mine).cast("long") * F.col("m") + F.greatest(o, mine)))
