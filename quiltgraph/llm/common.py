@@ -1,8 +1,7 @@
 """Helpers shared by the training-data operators.
 
-Rows of a table are never assumed to have unique ids: operators that join
-results back to rows key on ``ROW`` (added by :func:`with_row_key`), so repeated
-rows and null ids keep one result each.
+Rows of a table are never assumed to have unique ids: operators compute a row's result in the row's own
+task, or key on its content, so repeated rows and null ids keep one result each.
 """
 
 from __future__ import annotations
@@ -45,6 +44,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="quiltgraph-")
@@ -83,10 +84,5 @@ def free_shuffles(spark: SparkSession) -> None:
     time.sleep(0.4)
 
 
-def rows_between(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, by exact name; clashing extra columns are left out."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c, 256)
