@@ -97,27 +97,44 @@ def contract_match(contracts: DataFrame) -> DataFrame:
     return p.join(c, keys, "full_outer").select(*keys, "provider", "consumer", (F.col("p_repo") != F.col("c_repo")).alias("cross_repo"))
 
 
+#: Lines that share a bin in joins of lines with symbols.
+BIN = 256
+
+
+def _binned(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """rows with a copy for each bin of lines that they touch: files of many symbols join by (file, bin), not by file alone."""
+    return rows.select("*", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.greatest(F.col(start), F.col(end)) / BIN))).alias("_bin"))
+
+
+def around_lines(points: DataFrame, nodes: DataFrame, line: str) -> DataFrame:
+    """points(file_path, <line>, ...) with every symbol (id, start_line, end_line) around each."""
+    n = _binned(nodes.where("start_line > 0").select("id", "file_path", "start_line", "end_line"), "start_line", "end_line")
+    return points.withColumn("_bin", F.floor(F.col(line) / BIN)).join(n, ["file_path", "_bin"]).where(F.col(line).between(F.col("start_line"), F.col("end_line"))).drop("_bin")
+
+
 def range_overlap(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Symbols whose lines a diff hunk (file_path, h_start, h_end) touches. The file is the join key."""
-    return hunks.join(nodes.where("start_line > 0"), "file_path").where("start_line <= h_end AND end_line >= h_start")
+    """Symbols whose lines a diff hunk (file_path, h_start, h_end) touches, joined by file and bin of lines; a pair that shares several bins counts in the first."""
+    h, n = _binned(hunks, "h_start", "h_end"), _binned(nodes.where("start_line > 0"), "start_line", "end_line")
+    both = h.join(n, ["file_path", "_bin"]).where("start_line <= h_end AND end_line >= h_start")
+    return both.where(F.col("_bin") == F.floor(F.greatest("h_start", "start_line") / BIN)).drop("_bin")
 
 
 def innermost_at(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """points(file_path, line) with the shortest symbol around each; ties by id."""
-    hit = points.join(nodes.where("start_line > 0").select("id", "file_path", "start_line", "end_line"), "file_path").where("line BETWEEN start_line AND end_line")
+    hit = around_lines(points, nodes, "line")
     return hit.groupBy("file_path", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "id")).alias("m")).select("file_path", "line", F.col("m.id").alias("id"))
 
 
 def coverage(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, total, hit, coverage_pct): segments(file_path, start, statements, count) belong to the symbols around their first line."""
-    j = segments.join(nodes.where("start_line > 0").select("id", "file_path", "start_line", "end_line"), "file_path").where("start BETWEEN start_line AND end_line")
+    j = around_lines(segments, nodes, "start")
     g = j.groupBy("id").agg(F.sum("statements").alias("total"), F.sum(F.when(F.col("count") > 0, F.col("statements")).otherwise(0)).alias("hit"))
     return g.where("total > 0").withColumn("coverage_pct", F.round(100.0 * F.col("hit") / F.col("total"), 2))
 
 
 def blame(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, last_author, last_ts, commits, authors) from lines(file_path, line, author, commit, ts)."""
-    j = lines.join(nodes.where("start_line > 0").select("id", "file_path", "start_line", "end_line"), "file_path").where("line BETWEEN start_line AND end_line")
+    j = around_lines(lines, nodes, "line")
     return j.groupBy("id").agg(
         F.max(F.struct("ts", "author")).alias("m"), F.countDistinct("commit").alias("commits"), F.countDistinct("author").alias("authors")
     ).select("id", F.col("m.author").alias("last_author"), F.col("m.ts").alias("last_ts"), "commits", "authors")
@@ -125,7 +142,7 @@ def blame(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def churn(lines: DataFrame, nodes: DataFrame, now) -> DataFrame:
     """(id, commits, first_ts, age_days, per_month)."""
-    j = lines.join(nodes.where("start_line > 0").select("id", "file_path", "start_line", "end_line"), "file_path").where("line BETWEEN start_line AND end_line")
+    j = around_lines(lines, nodes, "line")
     g = j.groupBy("id").agg(F.countDistinct("commit").alias("commits"), F.min("ts").alias("first_ts"))
     age = F.floor((F.unix_timestamp(F.lit(now)) - F.unix_timestamp("first_ts")) / 86400).cast("long")
     return g.withColumn("age_days", age).withColumn("per_month", F.round(F.col("commits") / F.greatest(F.lit(1.0), F.col("age_days") / 30.0), 4))
@@ -161,6 +178,25 @@ def resolve(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return j.groupBy("ref_id").agg(F.min(F.struct("rank", "def_id")).alias("m"), F.count("*").alias("candidates")).select("ref_id", F.col("m.def_id").alias("def_id"), F.col("m.rank").alias("rank"), "candidates")
 
 
+def resolve_files(refs: DataFrame, defs: DataFrame, changed: DataFrame) -> DataFrame:
+    """:func:`resolve` for the references of changed files (file_path) alone, against definitions with their names alone."""
+    mine = refs.join(changed.select("file_path").distinct(), "file_path", "left_semi").select(*refs.columns)
+    return resolve(mine, defs.join(mine.select("name").distinct(), "name", "left_semi").select(*defs.columns))
+
+
+def resolve_across(refs: DataFrame, defs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(ref_id, def_id, rank, candidates): a definition in the reference's own repository (rank 0), else in another one that its file imports (rank 1).
+
+    evidence(file_path, repo_prefix) says which repositories a file imports: without it no reference leaves its repository.
+    """
+    d = defs.select("name", F.col("id").alias("def_id"), F.col("repo_prefix").alias("d_repo"))
+    at_home = refs.join(d, (refs.name == d.name) & (refs.repo_prefix == d.d_repo)).select("ref_id", "def_id", F.lit(0).alias("rank"))
+    allowed = refs.select("ref_id", "name", "file_path", F.col("repo_prefix").alias("r_repo")).join(evidence.select("file_path", F.col("repo_prefix").alias("d_repo")).distinct(), "file_path").where("r_repo <> d_repo")
+    away = allowed.join(d, ["name", "d_repo"]).select("ref_id", "def_id", F.lit(1).alias("rank"))
+    per = at_home.unionByName(away).groupBy("ref_id", "rank").agg(F.min("def_id").alias("def_id"), F.count("*").alias("candidates"))
+    return per.groupBy("ref_id").agg(F.min(F.struct("rank", "def_id", "candidates")).alias("m")).select("ref_id", "m.def_id", "m.rank", "m.candidates")
+
+
 def overlay(base: DataFrame, changed: DataFrame, tombstones: DataFrame) -> DataFrame:
     """base rows with those of changed and deleted files replaced; tombstones(file_path)."""
     gone = changed.select("file_path").union(tombstones.select("file_path")).distinct()

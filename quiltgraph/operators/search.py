@@ -59,6 +59,32 @@ def bigram_rescue(names: DataFrame, query: str, least: int) -> DataFrame:
     return names.select("id", F.size(F.array_intersect(own, grams)).alias("shared")).where(F.col("shared") >= least)
 
 
+def trigram_index(docs: DataFrame, text: Column) -> DataFrame:
+    """(gram, id): the different trigrams of each lower-cased text; to be stored, sorted by gram."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    # characters as an array: a substring at a place would walk a long text from its start each time
+    d = docs.select("id", F.split(t, "").alias("cs")).where(F.size("cs") >= 3)
+    at = lambda i: F.get("cs", i)
+    grams = F.transform(F.sequence(F.lit(0), F.size("cs") - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
+    return d.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def trigram_lookup(index: DataFrame, query: str) -> DataFrame:
+    """(id) of the texts with every trigram of a query of three letters or more: its postings alone are read, and counted."""
+    grams = sorted({query.lower()[i : i + 3] for i in range(len(query) - 2)})
+    return index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
+
+
+def search_bundle(nodes: DataFrame, edges: DataFrame, prefix: str, k: int) -> DataFrame:
+    """(id, name, rank, n_out, n_in): the k nodes whose names have the largest share of words with the prefix, with their edges counted."""
+    ws = F.split(F.lower("name"), " ")
+    share = F.size(F.filter(ws, lambda x: x.startswith(prefix))) / F.size(ws)
+    hits = nodes.withColumn("share", share).where("share > 0").orderBy(F.desc("share"), "id").limit(k)  # k rows
+    ranked = hits.select("id", "name", F.row_number().over(Window.orderBy(F.desc("share"), "id")).alias("rank"))
+    near = lambda c, o: edges.select(F.col(c).alias("id")).join(F.broadcast(ranked.select("id")), "id", "left_semi").groupBy("id").agg(F.count("*").alias(o))
+    return ranked.join(near("from_id", "n_out"), "id", "left").join(near("to_id", "n_in"), "id", "left").fillna(0, ["n_out", "n_in"])
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -67,7 +67,8 @@ def _reach_sql(depth: int) -> str:
 
 _REACH = _reach_sql(3)
 graph("e19_e20_reach_index", lambda g: T.reach_index(g.edges, g.nodes.where("kind = 'interface'").select("id"), None), _REACH + " SELECT * FROM reach")
-graph("e22_shortest_path", lambda g: T.shortest_path(g.edges.where("kind = 'calls'"), "fn::c10", "fn::p3", 24, 1000000).agg(F.min("hops").alias("hops"), F.count("*").alias("paths"), F.min(F.array_join("path", ">")).alias("first")), None)
+graph("e22_shortest_path", lambda g: T.shortest_path(g.edges.where("kind = 'calls'"), "fn::c10", "fn::p3", 24, 10).withColumn("path", F.array_join("path", ">")), None)
+graph("e22_shortest_path_count", lambda g: T.shortest_path_count(g.edges.where("kind = 'calls'"), "fn::c10", "fn::p3"), None)
 def _paths_sql(depth: int, per_pair: int) -> str:
     out = ", q AS MATERIALIZED (SELECT from_id, to_id, max(CASE origin WHEN 'lsp_resolved' THEN 1.0::DOUBLE WHEN 'ast_resolved' THEN 0.9::DOUBLE WHEN 'ast_inferred' THEN 0.7::DOUBLE WHEN 'text_matched' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END) AS score FROM edges WHERE kind = 'calls' AND from_id <> to_id GROUP BY 1, 2), p0 AS (SELECT ['fn::c10'] AS path, 1.0::DOUBLE AS c)"
     for d in range(1, depth + 1):

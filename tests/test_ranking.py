@@ -228,6 +228,43 @@ def test_paths_keep_to_sinks_and_rank(spark):
     assert T.paths(e, one("s"), one("t"), 8, 1).count() == 1
 
 
+def test_shortest_path_count(spark):
+    e = spark.createDataFrame([("s", "a", "calls", ""), ("s", "b", "calls", ""), ("a", "c", "calls", ""), ("b", "c", "calls", ""), ("c", "t", "calls", ""), ("c", "u", "calls", ""), ("u", "t", "calls", ""), ("x", "s", "calls", "")], EDGE)
+    got = T.shortest_path_count(e, "s", "t").first()
+    assert (got.hops, got.paths, got["first"]) == (3, 2, "s>a>c>t")
+    assert T.shortest_path_count(e, "s", "x").first().hops == -1 and T.shortest_path_count(e, "s", "s").first().hops == 0
+    assert T.shortest_path(e, "s", "t", 24, 10).count() == 2
+
+
+def test_lines_meet_symbols_across_bins(spark):
+    from quiltgraph.operators import joins as J
+
+    rng = random.Random(2)
+    nodes = [(f"n{i}", f"f{i % 3}", a, a + rng.choice((0, 5, 300, 900))) for i in range(60) for a in [rng.randrange(0, 1500)]]
+    n = spark.createDataFrame(nodes, "id string, file_path string, start_line int, end_line int")
+    pts = sorted({(f"f{rng.randrange(3)}", rng.randrange(0, 2000)) for _ in range(200)})
+    got = {(r.file_path, r.line): r.id for r in J.innermost_at(spark.createDataFrame(pts, "file_path string, line int"), n).collect()}
+    want = {}
+    for f, x in pts:
+        hit = [(e - s, i) for i, g, s, e in nodes if g == f and s > 0 and s <= x <= e]
+        if hit:
+            want[f, x] = min(hit)[1]
+    assert got == want
+    hunks = [(f"f{rng.randrange(3)}", a, a + rng.choice((0, 3, 600))) for _ in range(40) for a in [rng.randrange(1, 1800)]]
+    got = sorted((r.file_path, r.h_start, r.h_end, r.id) for r in J.range_overlap(spark.createDataFrame(hunks, "file_path string, h_start int, h_end int"), n).collect())
+    assert got == sorted((f, a, b, i) for f, a, b in hunks for i, g, s, e in nodes if g == f and s > 0 and s <= b and e >= a)
+
+
+def test_resolution_needs_evidence(spark):
+    from quiltgraph.operators import joins as J
+
+    refs = spark.createDataFrame([("r1", "f", "a/x.go", "A"), ("r2", "g", "a/x.go", "A"), ("r3", "g", "a/y.go", "A")], "ref_id string, name string, file_path string, repo_prefix string")
+    defs = spark.createDataFrame([("d1", "f", "b/z.go", "B"), ("d2", "f", "a/w.go", "A"), ("d3", "g", "b/z.go", "B")], "id string, name string, file_path string, repo_prefix string")
+    got = {r.ref_id: (r.def_id, r["rank"], r.candidates) for r in J.resolve_across(refs, defs, spark.createDataFrame([("a/x.go", "B")], "file_path string, repo_prefix string")).collect()}
+    assert got == {"r1": ("d2", 0, 1), "r2": ("d3", 1, 1)}
+    assert {r.ref_id for r in J.resolve_files(refs, defs, spark.createDataFrame([("a/y.go",)], "file_path string")).collect()} == {"r3"}
+
+
 def test_clone_tokens_and_index(spark):
     body = 'func load(p string) { x := "a b" + \'c\'; return 12 }'
     d = spark.createDataFrame([(1, body), (2, None), (3, "")], "id long, t string")
