@@ -164,9 +164,11 @@ class Postings:
 
 def search(index: DataFrame, items: list[tuple[object, list[bytes]]], id_type: str, item_type: str, width: int = WINDOW, slack: int | None = None) -> DataFrame:
     """(shard, place, id, n_words, matches array<struct<item, kind, lo, hi>>) for every document of the index; items: one block."""
-    wins = [(item, [_hash(w) for w in win]) for item, ws in items for win in windows_of(ws, width)]
+    # one block, at most about block_words words
+    shared = index.sparkSession.sparkContext.broadcast([(item, [_hash(w) for w in win]) for item, ws in items for win in windows_of(ws, width)])
 
     def run(batches):
+        wins = shared.value
         asked = np.array(sorted({h for _, win in wins for h in win}), np.int64)
         by_width: dict[int, list] = defaultdict(list)
         for item, win in wins:

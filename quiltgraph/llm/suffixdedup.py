@@ -11,9 +11,9 @@ about 35 need be kept. Windows in a row with one anchor are a segment.
    the batch are settled there, so a passage of a third of all documents sends
    one row a batch.
 2. Arrays are dealt by anchor hash. In a bucket they enter a family of levels: a
-   new array is merge-scanned against an existing array of its level, equal
-   segments leave only the earliest (the others' bytes go), and the merged array
-   moves up a level, so each segment is merged a logarithmic number of times.
+   new array is merge-scanned against all levels below twice its size, equal
+   segments leave only the earliest (the others' bytes go), so levels grow geometrically
+   and each segment is merged a logarithmic number of times.
 3. Anchors left with several different segments may still share single windows:
    only those windows are hashed one by one, settled in the same kind of family,
    by window hash.
@@ -162,26 +162,29 @@ def settle(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Family:
-    """Levels of sorted arrays; two arrays of one level merge into one of the next."""
+    """Levels of sorted arrays, each at least twice the next. A new array merges, in one scan, with all levels below twice what is merged so far, so sizes grow geometrically and an entry is rewritten a logarithmic number of times."""
 
     def __init__(self):
-        self.levels: dict[int, np.ndarray] = {}
+        self.levels: list[np.ndarray] = []
         self.gone: list[np.ndarray] = []
 
-    def add(self, run: np.ndarray, level: int = 0) -> None:
-        while level in self.levels:
-            run, gone = settle(np.concatenate([self.levels.pop(level), run]))
+    def add(self, run: np.ndarray) -> None:
+        parts, size = [run], len(run)
+        while self.levels and len(self.levels[-1]) < 2 * size:
+            parts.append(self.levels.pop())
+            size += len(parts[-1])
+        if len(parts) > 1:
+            run, gone = settle(np.concatenate(parts))
             self.gone.append(gone)
-            level += 1
-        self.levels[level] = run
+        self.levels.append(run)
 
     def close(self) -> tuple[np.ndarray, np.ndarray]:
-        """(kept, gone) of all levels merged, smallest first."""
-        run = np.empty(0, SEG)
-        for level in sorted(self.levels):
-            run, gone = settle(np.concatenate([run, self.levels[level]]))
+        """(kept, gone) of all levels merged."""
+        run = np.concatenate([np.empty(0, SEG), *self.levels])
+        if len(self.levels) > 1:
+            run, gone = settle(run)
             self.gone.append(gone)
-        self.levels = {}
+        self.levels = []
         return run, np.concatenate([np.empty(0, SEG), *self.gone])
 
 
@@ -380,14 +383,14 @@ class IndexFamily:
 
     ``add`` gives the spans to remove from a new batch, against everything added
     before; ids of a batch are unique whole numbers above all earlier ones. The
-    batch's sorted arrays become a level of rank 0; two levels of one rank merge into
-    one of the next, so after n batches about log2(n) levels are left to scan and each
+    batch's sorted arrays become a level, which merges with all levels below twice what is merged
+    so far: levels differ geometrically in size, about log2(n) are left to scan after n batches, and each
     segment has been rewritten as often. Texts are stored beside the arrays for single windows.
     """
 
     def __init__(self, spark: SparkSession, root: str, n_buckets: int = 64, length: int = LENGTH):
         self.spark, self.root, self.n_buckets, self.length = spark, root, n_buckets, length
-        self.levels: list[tuple[int, DataFrame]] = []  # (rank, arrays by bucket)
+        self.levels: list[tuple[int, DataFrame]] = []  # (bytes, arrays by bucket), largest first
         self.texts: list[DataFrame] = []
         self.written = 0
 
@@ -400,7 +403,7 @@ class IndexFamily:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc, lo, hi) of the new batch."""
         text = self._store(docs.select(F.col(f"`{id_col}`").cast("long").alias("ord"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), "texts")
-        new = self._store(text.mapInArrow(_index(self.n_buckets, self.length), OUT_SQL), "rank0")
+        new = self._store(text.mapInArrow(_index(self.n_buckets, self.length), OUT_SQL), "batch")
         runs, every = new, text
         for _, level in self.levels:
             runs = runs.unionByName(level)
@@ -410,14 +413,21 @@ class IndexFamily:
         # equal arrays of earlier batches were settled when they came
         mine = spans.join(text.select(F.col("ord").alias("doc")), "doc", "left_semi")
         self.texts.append(text)
-        rank, level = 0, new.where(F.col("kind") == RUN)
-        while any(r == rank for r, _ in self.levels):
-            other = next(x for x in self.levels if x[0] == rank)
-            self.levels.remove(other)
-            dealt = level.unionByName(other[1]).repartition("bucket").sortWithinPartitions("kind", "bucket")
-            rank += 1
-            level = self._store(dealt.mapInArrow(_family(self.length, False, True), OUT_SQL).where(F.col("kind") == RUN), f"rank{rank}")
-        self.levels.append((rank, level))
+        level = new.where(F.col("kind") == RUN)
+        size = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("run")), F.lit(0))).first()[0]
+        total, parts = size(level), [level]
+        while self.levels and self.levels[-1][0] < 2 * total:
+            n, other = self.levels.pop()
+            total += n
+            parts.append(other)
+        if len(parts) > 1:
+            both = parts[0]
+            for other in parts[1:]:
+                both = both.unionByName(other)
+            dealt = both.repartition("bucket").sortWithinPartitions("kind", "bucket")
+            level = self._store(dealt.mapInArrow(_family(self.length, False, True), OUT_SQL).where(F.col("kind") == RUN), "level")
+            total = size(level)
+        self.levels.append((total, level))
         return mine
 
 
