@@ -127,13 +127,6 @@ def time_buckets(events: DataFrame, now) -> DataFrame:
     )
 
 
-def edge_rollup(edges: DataFrame, kinds: list[str], by: str = "to_id") -> DataFrame:
-    """Edges of the kinds grouped by an end: rows, distinct other ends, by kind, and the first ids as samples."""
-    other = "from_id" if by == "to_id" else "to_id"
-    e = edges.where(F.col("kind").isin(kinds))
-    return e.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct(other).alias("others"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds], F.min(other).alias("first"))
-
-
 def cohesion(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """(community, cohesion): weight inside over all weight at it; edges(from_id, to_id, weight)."""
     e = edges.join(membership.select(F.col("id").alias("from_id"), F.col("community").alias("a")), "from_id").join(membership.select(F.col("id").alias("to_id"), F.col("community").alias("b")), "to_id")

@@ -5,37 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import edge_rollup
-
-#: Analysis -> (edge kinds, end to group by).
-ROLLUPS: dict[str, tuple[list[str], str]] = {
-    "channel_ops": (["sends", "recvs"], "to_id"),
-    "goroutine_spawns": (["spawns"], "to_id"),
-    "field_writers": (["writes"], "to_id"),
-    "annotation_users": (["annotated"], "to_id"),
-    "config_readers": (["reads_config"], "to_id"),
-    "env_var_users": (["reads_env", "uses_env"], "to_id"),
-    "sql_call_sites": (["queries", "reads_col", "writes_col"], "from_id"),
-    "event_emitters": (["emits"], "to_id"),
-    "pubsub": (["produces_topic", "consumes_topic"], "to_id"),
-    "string_emitters": (["emits"], "to_id"),
-    "error_surface": (["throws"], "from_id"),
-    "routes": (["handles_route"], "to_id"),
-    "models": (["models_table"], "to_id"),
-    "components": (["renders_child"], "from_id"),
-    "k8s_resources": (["configures", "mounts", "exposes"], "to_id"),
-    "images": (["depends_on"], "to_id"),
-    "kustomize": (["depends_on"], "from_id"),
-    "tests_as_edges": (["tests", "covered_by"], "to_id"),
-    "log_events": (["emits", "listens_on"], "to_id"),
-    "ref_facts": (["returns", "typed_as", "arg_of"], "to_id"),
-}
-
-
-def rollup(name: str, edges: DataFrame) -> DataFrame:
-    kinds, by = ROLLUPS[name]
-    return edge_rollup(edges, kinds, by)
-
 
 def indirect_mutations(edges: DataFrame) -> DataFrame:
     """(field, n, via): flagged field accesses by field, with the first method they go through."""

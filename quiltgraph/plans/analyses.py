@@ -13,12 +13,6 @@ from ..operators import joins as J
 from .adapter import Graph
 from .relational import _COVERED, _FANS, _LJ, _LINES, _SEGMENTS, graph, table
 
-for _name, (_kinds, _by) in L.ROLLUPS.items():
-    _other = "from_id" if _by == "to_id" else "to_id"
-    _cols = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _kinds)
-    _in = ", ".join(f"'{k}'" for k in _kinds)
-    graph(f"analyze_{_name}", lambda g, n=_name: L.rollup(n, g.typed), f"SELECT {_by}, count(*) AS n, count(DISTINCT {_other}) AS others, {_cols}, min({_other}) AS first FROM typed WHERE kind IN ({_in}) GROUP BY 1", typed=True)
-
 graph("analyze_indirect_mutations", lambda g: L.indirect_mutations(g.typed), "SELECT to_id AS field, count(*) AS n, min(from_id) AS via FROM typed WHERE kind = 'accesses_field' AND flag = 'true' GROUP BY 1", typed=True)
 graph("analyze_speculative", lambda g: L.speculative(g.typed), "SELECT kind, label, count(*) AS n, count(DISTINCT to_id) AS targets FROM typed WHERE origin = 'text_matched' GROUP BY 1, 2", typed=True)
 graph("analyze_race_writes", lambda g: L.race_writes(g.typed), "SELECT from_id AS writer, to_id AS field, count(*) AS n FROM typed WHERE kind = 'writes' AND from_id IN (SELECT from_id FROM typed WHERE kind = 'spawns') AND (from_id, to_id) NOT IN (SELECT from_id, to_id FROM typed WHERE kind = 'accesses_field' AND flag = 'true') GROUP BY 1, 2", typed=True)
