@@ -14,7 +14,7 @@ def register(name: str, fn, sql: str | None = None) -> None:
 
 def _load() -> None:
     """Registration happens on import of the plan modules."""
-    from .plans import analyses, graphs, kinds, library, maintenance, questions, ranking, relational, retrieval, sessions  # noqa: F401
+    from .plans import analyses, frameworks, graphs, kinds, library, maintenance, questions, ranking, relational, retrieval, sessions  # noqa: F401
 
 
 def queries() -> dict:

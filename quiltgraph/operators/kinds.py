@@ -20,13 +20,13 @@ def _ends(edges: DataFrame, *kinds: str) -> DataFrame:
     return edges.where(F.col("kind").isin(list(kinds)) & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
 
 
-def _gather(rows: DataFrame, keys: list[str], counts: dict[str, Column], lists: dict[str, tuple[str, Column]]) -> DataFrame:
+def _gather(rows: DataFrame, keys: list[str], counts: dict[str, Column | str], lists: dict[str, tuple[str, Column | str]]) -> DataFrame:
     """keys, counts of rows that meet a condition, and lists of the smallest ids of a column among such rows.
 
     Counts combine on the map side. Lists come from distinct (keys, id) pairs ranked under a window whose limit
     reaches the map side too, so no task holds the ids of a hot key.
     """
-    out = rows.groupBy(*keys).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    out = rows.groupBy(*keys).agg(*[F.count_if(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in counts.items()])
     for name, (col, cond) in lists.items():
         pairs = rows.where(cond).select(*keys, F.col(col).alias("_member")).where(F.col("_member").isNotNull()).distinct()
         top = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_member"))).where(F.col("_r") <= SAMPLES)
@@ -36,7 +36,8 @@ def _gather(rows: DataFrame, keys: list[str], counts: dict[str, Column], lists:
     return out
 
 
-_ALL = F.lit(True)
+#: Condition that every row meets.
+_ALL = "true"
 
 
 def _is(kind: str) -> Column:

@@ -68,3 +68,64 @@ class Registry:
 
 #: Signals: name -> callable that gives a Column. Detectors: name -> callable over a table of texts. Extractors: name -> callable over files.
 SIGNALS, DETECTORS, EXTRACTORS = Registry(), Registry(), Registry()
+
+
+def pick_unique(stubs: DataFrame, candidates: DataFrame, *keys: str) -> DataFrame:
+    """stubs with target: the only candidate of the caller's repository, else, where it has none, the only one of all, else null.
+
+    stubs(repo, keys), candidates(id, repo, keys). Candidates fold to one row a key before they are joined, so a key that many
+    candidates share multiplies nothing. A stub with a null key or repository can match by the other rules alone.
+    """
+    c = candidates.where(F.col("id").isNotNull()).select("id", F.col("repo").alias("repo"), *keys).distinct()
+    here = c.groupBy(*keys, "repo").agg(F.count("*").alias("_here"), F.min("id").alias("_own"))
+    everywhere = c.groupBy(*keys).agg(F.count("*").alias("_all"), F.min("id").alias("_any"))
+    target = F.when(F.col("_here") == 1, F.col("_own")).when(F.col("_here").isNull() & (F.col("_all") == 1), F.col("_any"))
+    return stubs.join(here, [*keys, "repo"], "left").join(everywhere, list(keys), "left").withColumn("target", target).drop("_here", "_own", "_all", "_any")
+
+
+def _synthesized(picked: DataFrame, placeholder: Column, origin: Column, confidence: Column, name: str) -> DataFrame:
+    """(from_id, to_id, kind, origin, confidence, synthesizer): resolved stubs, and placeholders with no origin for the others."""
+    hit = F.col("target").isNotNull()
+    return picked.select("from_id", F.coalesce("target", placeholder).alias("to_id"), F.lit("calls").alias("kind"), F.when(hit, origin).alias("origin"), F.when(hit, confidence).alias("confidence"), F.when(hit, F.lit(name)).alias("synthesizer"))
+
+
+def grpc_calls(stubs: DataFrame, registrations: DataFrame, types: DataFrame, members: DataFrame, implements: DataFrame) -> DataFrame:
+    """Client stub calls joined to server methods.
+
+    stubs(from_id, service, method, repo); registrations(service, impl, repo, dir) name the type that serves; types(id, name, kind, repo,
+    dir); members(type_id, id, name, repo) are methods; implements(from_id, to_id). A registered type counts first: the only one of its
+    name, else the smallest id of the registration's folder, else the only one of its repository. After that, implementors of the
+    interface <service>Server, but those named Unimplemented. Calls with an empty service or method are left out.
+    """
+    t = types.where("kind = 'type'").select("id", F.col("name").alias("impl"), "repo", "dir")
+    r = registrations.where("service <> '' AND impl <> ''").distinct()
+    near = t.where("dir <> ''").groupBy("impl", "dir").agg(F.min("id").alias("_near"))
+    sole = t.groupBy("impl").agg(F.count("*").alias("_n"), F.min("id").alias("_sole"))
+    own = t.groupBy("impl", "repo").agg(F.count("*").alias("_k"), F.min("id").alias("_own"))
+    served = r.join(sole, "impl").join(near, ["impl", "dir"], "left").join(own, ["impl", "repo"], "left")
+    served = served.select("service", F.when(F.col("_n") == 1, F.col("_sole")).when(F.col("_near").isNotNull(), F.col("_near")).when(F.col("_k") == 1, F.col("_own")).alias("type_id")).where("type_id IS NOT NULL").distinct()
+    faces = types.where((F.col("kind") == "interface") & F.col("name").endswith("Server") & (F.length("name") > 6)).select(F.col("id").alias("to_id"), F.expr("left(name, length(name) - 6)").alias("service"))
+    bodies = types.where(~F.col("name").startswith("Unimplemented")).select(F.col("id").alias("from_id"))
+    inferred = implements.select("from_id", "to_id").join(faces, "to_id").join(bodies, "from_id", "left_semi").select("service", F.col("from_id").alias("type_id")).distinct()
+    methods = members.select("type_id", "id", F.col("name").alias("method"), "repo")
+    s = stubs.where("service <> '' AND method <> ''").select("from_id", "service", "method", "repo")
+    first = pick_unique(s, served.join(methods, "type_id"), "service", "method").withColumnRenamed("target", "first")
+    both = pick_unique(first, inferred.join(methods, "type_id"), "service", "method").withColumn("target", F.coalesce("first", "target"))
+    registered = F.col("first").isNotNull()
+    return _synthesized(both, F.concat(F.lit("unresolved::grpc::"), "service", F.lit("::"), "method"), F.when(registered, "ast_resolved").otherwise("ast_inferred"), F.when(registered, 0.9).otherwise(0.7), "grpc-stub")
+
+
+def workflow_calls(stubs: DataFrame, registered: DataFrame) -> DataFrame:
+    """Workflow and activity calls by name: stubs(from_id, role, name, repo) with registered(id, role, name, repo)."""
+    s = stubs.where("role <> '' AND name <> ''").select("from_id", "role", "name", "repo")
+    return _synthesized(pick_unique(s, registered, "role", "name"), F.concat(F.lit("unresolved::temporal::"), "role", F.lit("::"), "name"), F.lit("ast_resolved"), F.lit(0.9), "workflow")
+
+
+def mapper_calls(statements: DataFrame, methods: DataFrame) -> DataFrame:
+    """Mapper statements with the methods they back: statements(from_id, namespace, statement, repo), methods(id, receiver, name, repo).
+
+    The last part of the namespace is the class; class and statement name the method.
+    """
+    s = statements.where("namespace <> '' AND statement <> ''").select("from_id", "namespace", "statement", "repo", F.substring_index("namespace", ".", -1).alias("receiver"), F.col("statement").alias("name"))
+    c = methods.where("receiver <> '' AND name <> ''")
+    return _synthesized(pick_unique(s, c, "receiver", "name"), F.concat(F.lit("unresolved::mybatis::"), "namespace", F.lit("::"), "statement"), F.lit("ast_inferred"), F.lit(0.7), "mapper")

@@ -62,6 +62,7 @@ TYPED_DUCK = _TYPED.format(pick=f"([{_KINDS}])[{_SLOT}]")
 #: WITH clause of the DuckDB side.
 WITH = f"WITH nodes AS MATERIALIZED ({NODES_SQL}), edges AS MATERIALIZED ({EDGES_SQL})"
 WITH_TYPED = f"WITH nodes AS MATERIALIZED ({NODES_SQL}), typed AS MATERIALIZED ({TYPED_DUCK})"
+WITH_ALL = f"{WITH}, typed AS MATERIALIZED ({TYPED_DUCK})"
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 

@@ -46,17 +46,15 @@ def _with(parts: DataFrame, **columns) -> DataFrame:
     return parts.select("id", "name", *[c.alias(n) for n, c in columns.items()])
 
 
-_context = F.when(F.col("kind_dir") < "m", "log_message").otherwise("error_msg")
 _CONTEXT = "CASE WHEN kind_dir < 'm' THEN 'log_message' ELSE 'error_msg' END"
-_contract = F.when(F.col("first_word") < "d", "http").when(F.col("first_word") < "h", "grpc").when(F.col("first_word") < "p", "topic").otherwise("graphql")
 
 
 def _strings(p: DataFrame) -> DataFrame:
-    return p.select("id", _context.alias("context"), F.col("name").alias("value"))
+    return p.select("id", F.expr(_CONTEXT).alias("context"), F.col("name").alias("value"))
 
 
 def _source(p: DataFrame) -> DataFrame:
-    return _with(p, source=F.when(F.col("last_word") < "m", "env").otherwise("file"))
+    return _with(p, source=F.expr(_SOURCE))
 
 
 _SOURCE = "CASE WHEN last_word < 'm' THEN 'env' ELSE 'file' END"
@@ -76,7 +74,7 @@ _analysis("string_emitters", lambda g, e, p: K.string_emitters(e, _strings(p)),
 _analysis("log_events", lambda g, e, p: K.log_events(e, _strings(p)), f"SELECT name AS value, {_LEVELS} AS level, count(*) AS emits, {_few('from_id')} AS emitters FROM typed JOIN parts ON to_id = id WHERE kind = 'emits' AND {_CONTEXT} = 'log_message' GROUP BY 1, 2")
 _analysis("error_surface", lambda g, e, p: K.error_surface(e, g.nodes, _strings(p)), f", m AS (SELECT from_id, {_few('name')} AS messages FROM typed JOIN parts ON to_id = id WHERE kind = 'emits' AND {_CONTEXT} = 'error_msg' GROUP BY 1) SELECT from_id AS symbol, n.file_path, count(*) AS throws, {_few('to_id')} AS errors, coalesce(any_value(messages), '') AS messages, count(DISTINCT to_id) AS kinds FROM typed t JOIN nodes n ON from_id = n.id LEFT JOIN m USING (from_id) WHERE t.kind = 'throws' GROUP BY 1, 2")
 _CONTRACT = "CASE WHEN first_word < 'd' THEN 'http' WHEN first_word < 'h' THEN 'grpc' WHEN first_word < 'p' THEN 'topic' ELSE 'graphql' END"
-_analysis("routes", lambda g, e, p: K.routes(e, _with(p, type=_contract, method=F.upper("last_word"), path=F.concat(F.lit("/"), "kind_dir"), service=F.col("brand"), topic=F.col("name"), operation=F.col("first_word"), field=F.col("last_word"))), f"SELECT from_id AS handler, to_id AS route, c AS route_kind, CASE c WHEN 'graphql' THEN first_word WHEN 'topic' THEN '' ELSE upper(last_word) END AS method, CASE c WHEN 'graphql' THEN last_word WHEN 'topic' THEN name WHEN 'grpc' THEN brand ELSE '/' || kind_dir END AS path FROM typed JOIN (SELECT *, {_CONTRACT} AS c FROM parts) ON to_id = id WHERE kind = 'handles_route'")
+_analysis("routes", lambda g, e, p: K.routes(e, _with(p, type=F.expr(_CONTRACT), method=F.upper("last_word"), path=F.concat(F.lit("/"), "kind_dir"), service=F.col("brand"), topic=F.col("name"), operation=F.col("first_word"), field=F.col("last_word"))), f"SELECT from_id AS handler, to_id AS route, c AS route_kind, CASE c WHEN 'graphql' THEN first_word WHEN 'topic' THEN '' ELSE upper(last_word) END AS method, CASE c WHEN 'graphql' THEN last_word WHEN 'topic' THEN name WHEN 'grpc' THEN brand ELSE '/' || kind_dir END AS path FROM typed JOIN (SELECT *, {_CONTRACT} AS c FROM parts) ON to_id = id WHERE kind = 'handles_route'")
 _analysis("models", lambda g, e, p: K.models(e, p, "3"), "SELECT from_id AS model, coalesce(name, to_id) AS table_name, label AS orm, origin AS derivation FROM typed LEFT JOIN parts ON to_id = id WHERE kind = 'models_table' AND label = '3'")
 _analysis("components", lambda g, e, p: K.components(e, g.nodes), "SELECT id, name, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT from_id AS id, 0 AS i, 1 AS o FROM typed WHERE kind = 'renders_child' UNION ALL SELECT to_id, 1, 0 FROM typed WHERE kind = 'renders_child') JOIN nodes USING (id) GROUP BY 1, 2")
 _DEGREE = ", ".join(f"coalesce({k}, 0) AS {k}" for k in ("depends_on", "configures", "mounts", "exposes", "uses_env"))
