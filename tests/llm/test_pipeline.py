@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quiltgraph.llm import decontaminate, nearcopies, simhash
 from quiltgraph.llm.common import words
@@ -102,6 +104,48 @@ def test_cut_characters_go_and_own_marks_stay(spark, tmp_path):
     assert got == {i: k.decode("utf-8", "ignore") for i, k in removed.items()}
 
 
+def test_near_copies_come_by_fingerprints_and_pivots(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"q{rng.randrange(9000)}"
+    texts = []
+    for _ in range(150):
+        base = [word() for _ in range(rng.choice((30, 90, 300)))]
+        near = list(base)
+        for at in rng.sample(range(5, len(base) - 5), max(1, len(base) // 50)):
+            near[at] = word()
+        texts += [" ".join(base), " ".join(near)]
+    sets = [nearcopies.shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if nearcopies.jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(pairs) > 80
+    x = np.random.default_rng(1).integers(0, 2**64, (301, 3), dtype=np.uint64)
+    for n in (1, 2, 3, 4, 7, 300, 301):
+        plain = np.unpackbits(x[:n].view(np.uint8), axis=1, bitorder="little").sum(0)
+        assert (nearcopies.set_bits(x[:n]) == plain).all()
+    by = nearcopies.factors(19)
+    fps = np.array([nearcopies.fingerprint(h, by) for h in sets])
+    differ = lambda a, b: int(np.bitwise_count(fps[a] ^ fps[b]).sum())
+    assert all(differ(a, b) <= nearcopies.far(19) for a, b in pairs)
+    assert all(differ(a, a - 2) > nearcopies.far(19) for a in range(2, len(sets)))
+    dist = nearcopies.pivot_distances(fps).astype(int)
+    assert all(((dist[a] - dist[b]) ** 2).sum() <= nearcopies.PIVOT_FAR for a, b in pairs)
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    c = nearcopies.pair_counts(d).first()
+    assert c.met > 2 * c.pivots > 2 * c.verified > 0
+    stored = nearcopies.fingerprints(d, len(texts))
+    node = {r.h: r.node for r in stored.collect()}
+    node = [node[hashlib.md5(t.encode()).hexdigest()] for t in texts]
+    for tile in (4, 1024):
+        held = {}
+        for r in nearcopies.candidate_sets(stored, len(texts), tile).collect():
+            held.setdefault(r.node, set()).add(r.key)
+        assert all(held[node[a]] & held[node[b]] for a, b in pairs)
+    # the stage takes its rows from them
+    asked, made = [], nearcopies.fingerprints
+    monkeypatch.setattr(nearcopies, "fingerprints", lambda *a: asked.append(1) or made(*a))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()}
+    assert asked and kept == set(range(len(texts))) - {a for a, _ in pairs}
+
+
 def test_family_without_a_hub(spark):
     """A chain: each text is near the next one only, so no member is near all others."""
     rng = random.Random(8)
