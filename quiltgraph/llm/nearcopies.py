@@ -369,15 +369,16 @@ def hub_links(pairs: DataFrame, nodes: DataFrame, least: float, n: int) -> DataF
 
 
 def dealt(rows: DataFrame, tile: int = TILE) -> DataFrame:
-    """rows (key, comp, node, more columns) of the keys with several comps, with a tile number: every two nodes of a key and different comps are in one tile."""
+    """rows (key, comp, node, more columns) of the keys with several comps, with a tile number: every two nodes of a key and different comps are in one tile. Keys of half a tile at most are one tile as they are; only larger ones are multiplied."""
     half = max(1, tile // 2)
     size = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
     cut = size.select("key", F.col("top.comp").alias("top"), F.ceil(F.col("n") / half).alias("wide"), F.ceil((F.col("n") - F.col("top.c")) / half).alias("high"))
-    x = rows.join(cut, "key")
+    whole = rows.join(cut.where("wide = 1").select("key"), "key").select(*rows.columns, F.lit(0).cast("long").alias("part"))
+    x = rows.join(cut.where("wide > 1"), "key")
     spread = lambda seed, m: F.pmod(F.xxhash64("node", "key", F.lit(seed)), F.col(m))
     column = F.transform(F.sequence(F.lit(0).cast("long"), F.col("high") - 1), lambda r: r * F.col("wide") + spread(1, "wide"))
     row = F.when(F.col("comp") == F.col("top"), F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda c: spread(2, "high") * F.col("wide") + c))
-    out = x.select(*rows.columns, F.explode(F.array_distinct(F.concat(column, row))).alias("part"))
+    out = whole.union(x.select(*rows.columns, F.explode(F.array_distinct(F.concat(column, row))).alias("part")))
     return out.repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
 

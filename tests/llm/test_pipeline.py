@@ -164,6 +164,34 @@ def test_family_without_a_hub(spark):
         assert len(got) == len(texts) and len({r.component for r in got}) == 1
 
 
+def test_only_large_sets_are_multiplied(spark):
+    """Rows that Spark's explode makes, as its own counts say: none for keys of half a tile or less."""
+    small = [(key, comp, 100 * key + node) for key in range(50) for node in range(8) for comp in [100 * key + (node > 4)]]
+    large = [(99, 9900 + (node > 30), 9900 + node) for node in range(40)]
+
+    def multiplied(rows, out):
+        got = nearcopies.dealt(spark.createDataFrame(rows, "key long, comp long, node long"), 16).collect()
+        out.extend((r.key, r.part, r.node, r.comp) for r in got)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store = spark._jsparkSession.sharedState().statusStore()
+        ran = store.executionsList()
+        last = ran.apply(ran.size() - 1).executionId()
+        values, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+        found = [(n.name(), n.metrics()) for n in (nodes.apply(i) for i in range(nodes.size()))]
+        made = [values.get(m.apply(0).accumulatorId()) for name, m in found if name == "Generate"]
+        return sum(int(v.get().replace(",", "")) for v in made if v.isDefined())
+
+    one, both = [], []
+    assert multiplied(small, one) == 0 and sorted(one) == sorted((k, 0, n, c) for k, c, n in small)
+    assert multiplied(small + large, both) == len(both) - len(small) > len(large)
+    tiles = {}
+    for k, p, n, c in both:
+        tiles.setdefault((k, p), set()).add(n)
+    assert all(any({a, b} <= t for t in tiles.values()) for k, x, a in large for _, y, b in large if x != y)
+    # a key of one comp has nothing to pair
+    assert multiplied([(1, 7, 7), (1, 7, 8)], []) == 0
+
+
 def test_null_and_repeated_ids_keep_their_rows(spark, tmp_path):
     rng = random.Random(9)
     text = lambda n: " ".join(f"u{rng.randrange(4000)}" for _ in range(n))
