@@ -327,6 +327,27 @@ def test_gradients():
         assert abs((lm.gradients(q, w[:, :-1], w[:, 1:], on)[0] - loss) / 1e-5 - g[k][at]) < 1e-5
 
 
+def test_shifts_only_where_exponents_need_them(monkeypatch):
+    """Same loss and gradients with and without the shift; wide parameters still get it."""
+    rng = np.random.default_rng(4)
+    w = rng.integers(0, lm.CLASSES, (5, lm.CONTEXT + 1))
+    on = rng.random((5, lm.CONTEXT)) < 0.8
+    made = []
+    widest = lm.widest
+    monkeypatch.setattr(lm, "widest", lambda m: made.append(widest(m)) or made[-1])
+    for wide in (1, 40):
+        p = {k: v.astype(np.float64) * wide for k, v in lm.initial(rng.normal(size=lm.CLASSES).astype(np.float32)).items()}
+        made.clear()
+        loss, g = lm.gradients(p, w[:, :-1], w[:, 1:], on)
+        assert (max(made) >= lm.SHIFT) == (wide > 1)
+        with monkeypatch.context() as m:
+            m.setattr(lm, "SHIFT", 0)
+            loss0, g0 = lm.gradients(p, w[:, :-1], w[:, 1:], on)
+        assert np.isclose(loss, loss0, rtol=1e-12) and all(np.allclose(g[k], g0[k], rtol=1e-9, atol=1e-12) for k in lm.SHAPES)
+        low = lm.gradients({k: v.astype(np.float32) for k, v in p.items()}, w[:, :-1], w[:, 1:], on)
+        assert np.isfinite(low[0]) and all(np.isfinite(x).all() for x in low[1].values())
+
+
 def test_each_id_is_scored_once_and_nothing_looks_ahead():
     rng = np.random.default_rng(2)
     p = lm.initial(rng.normal(size=lm.CLASSES).astype(np.float32))
